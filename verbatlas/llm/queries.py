@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbatlas.llm import bpe
+from verbatlas.llm import bpe, spans
 from verbatlas.session import read
 
 
@@ -15,8 +15,19 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal runs of characters that stand verbatim in another document."""
+    return spans.shared_spans(read(spark, sf_dir, "documents"))
+
+
+def p9_shared_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document stands verbatim in other documents."""
+    documents = read(spark, sf_dir, "documents")
+    return spans.shared_amount(documents, spans.shared_spans(documents))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_ids": p7_ids}
+    return {"p7_ids": p7_ids, "p9_found": p9_found, "p9_shared_amount": p9_shared_amount}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbatlas.llm import bpe, spans
+from verbatlas.llm import bpe, mojibake, spans
 from verbatlas.session import read
 
 
+def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every damaged word with its original, where one is left, and how it was garbled."""
+    return mojibake.restore(read(spark, sf_dir, "srl_examples"), read(spark, sf_dir, "penn_terminals"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where damaged words stand."""
+    return p1_restored(spark, sf_dir).select("table_name", "record_id", "word_pos")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text by byte_bpe_50k."""
     return bpe.encode_documents(read(spark, sf_dir, "documents"))
@@ -27,7 +37,7 @@ def p9_shared_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_ids": p7_ids, "p9_found": p9_found, "p9_shared_amount": p9_shared_amount}
+    return {"p1_found": p1_found, "p1_restored": p1_restored, "p7_ids": p7_ids, "p9_found": p9_found, "p9_shared_amount": p9_shared_amount}
 
 
 def oracle_sql() -> dict[str, str]:

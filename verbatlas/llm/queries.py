@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbatlas.llm import bpe, mojibake, spans
+from verbatlas.llm import bpe, mojibake, overlap, spans
 from verbatlas.session import read
 
 
@@ -20,6 +20,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_restored(spark, sf_dir).select("table_name", "record_id", "word_pos")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training and evaluation examples that are the same or nearly so."""
+    return overlap.overlapping_pairs(read(spark, sf_dir, "srl_examples"))
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap with training per evaluation split and source."""
+    return overlap.overlap_report(read(spark, sf_dir, "srl_examples"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text by byte_bpe_50k."""
     return bpe.encode_documents(read(spark, sf_dir, "documents"))
@@ -37,7 +47,7 @@ def p9_shared_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_restored": p1_restored, "p7_ids": p7_ids, "p9_found": p9_found, "p9_shared_amount": p9_shared_amount}
+    return {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_report": p3_report, "p7_ids": p7_ids, "p9_found": p9_found, "p9_shared_amount": p9_shared_amount}
 
 
 def oracle_sql() -> dict[str, str]:

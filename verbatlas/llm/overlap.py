@@ -54,8 +54,8 @@ def ranked_sequences(classes: DataFrame) -> DataFrame:
     """``(class, eval, train, n, seq array<long>)``: the words of each class as hashes, the rarest first."""
     words = classes.select("class", F.explode(F.transform("words", lambda w: F.xxhash64(w))).alias("word"))
     counted = words.groupBy("word").agg(F.count("*").alias("df"))
-    bound = F.broadcast(classes.agg((F.count("*") / COMMON).alias("limit")))
-    marked = counted.join(bound, F.lit(True)).select("word", "df", (F.col("df") > F.col("limit")).alias("common"))
+    limit = classes.agg((F.count("*") / COMMON).alias("limit")).scalar()
+    marked = counted.select("word", "df", (F.col("df") > limit).alias("common"))
     marked = materialize(marked, "word-frequencies")
     common = marked.where("common").select("word", F.col("df").alias("df_common"))
     rare = marked.where("not common").select("word", "df")
@@ -150,11 +150,8 @@ def verify(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("ce", "ct", "se", "st").mapInArrow(kernel, "ce string, ct string, share double")
 
 
-def class_pairs(member_rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def class_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(ce, ct, share)``: all pairs of an evaluation class and a training class that are near enough."""
-    classes = member_rows.groupBy("class").agg(
-        F.first("words").alias("words"), F.max(F.col("side") == "e").alias("is_eval"), F.max(F.col("side") == "t").alias("is_train")
-    )
     sequences = materialize(ranked_sequences(classes), "sequences")
     found = candidates(sequences, threshold)
     left = sequences.where("is_eval").select(F.col("class").alias("ce"), F.col("seq").alias("se"))
@@ -162,11 +159,20 @@ def class_pairs(member_rows: DataFrame, threshold: float = THRESHOLD) -> DataFra
     return verify(found.join(left, "ce").join(right, "ct"), threshold)
 
 
+def classes_and_members(examples: DataFrame, extra: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """One row per distinct sequence, and one row per example without its words."""
+    rows = members(examples, extra)
+    classes = rows.groupBy("class").agg(
+        F.first("words").alias("words"), F.max(F.col("side") == "e").alias("is_eval"), F.max(F.col("side") == "t").alias("is_train")
+    )
+    return materialize(classes, "classes"), materialize(rows.drop("words").distinct(), "members")
+
+
 def overlapping_pairs(examples: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(example_id_a, example_id_b)``, the smaller first: every pair of a training and an evaluation
     example whose sets of words are near enough, once."""
-    rows = materialize(members(examples).select("class", "words", "side", "example_id", "split").distinct(), "members")
-    pairs = class_pairs(rows, threshold)
+    classes, rows = classes_and_members(examples)
+    pairs = class_pairs(classes, threshold)
     ids = rows.select("class", "side", "example_id")
     left = ids.where("side = 'e'").select(F.col("class").alias("ce"), F.col("example_id").alias("e"))
     right = ids.where("side = 't'").select(F.col("class").alias("ct"), F.col("example_id").alias("t"))
@@ -177,9 +183,8 @@ def overlapping_pairs(examples: DataFrame, threshold: float = THRESHOLD) -> Data
 def overlap_report(examples: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per split and source of the evaluation examples: how many there are, how many stand in training
     word for word or changed, and the number of pairs. Counted from classes, without making the pairs."""
-    rows = materialize(members(examples, ["source"]).drop("words").distinct().join(
-        members(examples).select("class", "words").groupBy("class").agg(F.first("words").alias("words")), "class"), "members")
-    pairs = class_pairs(rows, threshold)
+    classes, rows = classes_and_members(examples, ["source"])
+    pairs = class_pairs(classes, threshold)
     training = rows.where("side = 't'").groupBy("class").agg(F.count_distinct("example_id").alias("n"))
     per_class = (
         pairs.join(training.withColumnRenamed("class", "ct"), "ct")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbatlas.llm import bpe, mojibake, overlap, spans
+from verbatlas.llm import bpe, mojibake, overlap, spans, terms
 from verbatlas.session import read
 
 
@@ -30,6 +30,16 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_report(read(spark, sf_dir, "srl_examples"))
 
 
+def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences and records of every tag and roleset, with the rare and common ones marked."""
+    return terms.term_frequencies(read(spark, sf_dir, "srl_examples"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rare and the common terms."""
+    return p4_terms(spark, sf_dir).where("mark is not null").select("term_field", "term", "mark")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text by byte_bpe_50k."""
     return bpe.encode_documents(read(spark, sf_dir, "documents"))
@@ -47,8 +57,27 @@ def p9_shared_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_report": p3_report, "p7_ids": p7_ids, "p9_found": p9_found, "p9_shared_amount": p9_shared_amount}
+    return {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_terms": p4_terms, "p7_ids": p7_ids, "p9_found": p9_found, "p9_shared_amount": p9_shared_amount}
+
+
+P4_TERMS = """
+WITH record AS (
+  SELECT example_id, first(tags ORDER BY ingested_at, tags, predicate_roleset) AS tags,
+         first(predicate_roleset ORDER BY ingested_at, tags, predicate_roleset) AS predicate_roleset
+  FROM srl_examples WHERE example_id IS NOT NULL GROUP BY example_id),
+term AS (
+  SELECT 'tags' AS term_field, example_id, unnest(tags) AS term FROM record
+  UNION ALL SELECT 'predicate_roleset', example_id, predicate_roleset FROM record),
+counted AS (
+  SELECT term_field, term, count(*)::BIGINT AS occurrences, count(DISTINCT example_id)::BIGINT AS records
+  FROM term WHERE term IS NOT NULL GROUP BY ALL)
+SELECT *, CASE WHEN records <= 3 THEN 'rare'
+               WHEN records > 0.25 * (SELECT count(*) FROM record) THEN 'common' END AS mark
+FROM counted"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_terms": P4_TERMS,
+        "p4_found": f"SELECT term_field, term, mark FROM ({P4_TERMS}) WHERE mark IS NOT NULL",
+    }

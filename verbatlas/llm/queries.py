@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from verbatlas.llm import bpe, mojibake, overlap, spans, terms
+from verbatlas.llm import bpe, groups, mojibake, overlap, spans, terms
 from verbatlas.session import read
 
 
@@ -40,6 +41,22 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_terms(spark, sf_dir).where("mark is not null").select("term_field", "term", "mark")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are tied to another one, and their group."""
+    tied = groups.components(read(spark, sf_dir, "prepared_examples"))
+    return tied.select(F.col("node").alias("document_id"), F.col("group").alias("group_id"))
+
+
+def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A split for every document, kept together by sentence and author."""
+    return groups.assign_splits(read(spark, sf_dir, "prepared_examples"), read(spark, sf_dir, "split_targets"))
+
+
+def p6_one_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One split for every document that lies in several."""
+    return groups.one_split_per_document(read(spark, sf_dir, "srl_examples"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text by byte_bpe_50k."""
     return bpe.encode_documents(read(spark, sf_dir, "documents"))
@@ -57,7 +74,7 @@ def p9_shared_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_terms": p4_terms, "p7_ids": p7_ids, "p9_found": p9_found, "p9_shared_amount": p9_shared_amount}
+    return {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_terms": p4_terms, "p6_found": p6_found, "p6_splits": p6_splits, "p6_one_split": p6_one_split, "p7_ids": p7_ids, "p9_found": p9_found, "p9_shared_amount": p9_shared_amount}
 
 
 P4_TERMS = """
@@ -76,8 +93,29 @@ SELECT *, CASE WHEN records <= 3 THEN 'rare'
 FROM counted"""
 
 
+P6_FOUND = """
+WITH RECURSIVE tie AS (
+  SELECT DISTINCT document_id AS d, 's' || sentence_id AS v FROM prepared_examples WHERE trim(sentence_id) <> ''
+  UNION SELECT DISTINCT document_id, 'a' || author_id FROM prepared_examples WHERE trim(author_id) <> ''),
+hub AS (SELECT v, min(d) AS h FROM tie GROUP BY v HAVING count(*) > 1),
+edge AS (SELECT tie.d AS a, h AS b FROM tie JOIN hub USING (v) WHERE tie.d <> h),
+sym AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+reach AS (SELECT DISTINCT a AS d, a AS r FROM sym UNION SELECT reach.d, sym.b FROM reach JOIN sym ON sym.a = reach.r)
+SELECT d AS document_id, min(r) AS group_id FROM reach GROUP BY d"""
+
+P6_ONE_SPLIT = """
+WITH r AS (SELECT DISTINCT document_id, example_id, split FROM srl_examples
+           WHERE document_id IS NOT NULL AND example_id IS NOT NULL),
+c AS (SELECT document_id, split, count(*) AS n,
+        CASE split WHEN 'train' THEN 1 WHEN 'development' THEN 2 WHEN 'test' THEN 3 ELSE 4 END AS o FROM r GROUP BY ALL)
+SELECT document_id, first(split ORDER BY (split IS NULL)::INT, n DESC, o, split DESC) AS split, sum(n)::BIGINT AS examples,
+  (sum(n) - coalesce(max(n) FILTER (WHERE split IS NOT NULL), 0))::BIGINT AS moved FROM c GROUP BY document_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_found": P6_FOUND,
+        "p6_one_split": P6_ONE_SPLIT,
         "p4_terms": P4_TERMS,
         "p4_found": f"SELECT term_field, term, mark FROM ({P4_TERMS}) WHERE mark IS NOT NULL",
     }

@@ -188,7 +188,9 @@ def form_table(words: DataFrame) -> DataFrame:
             types = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["form", "original", "chain", "known", "weight"])
 
-    return words.mapInArrow(kernel, schema)
+    # a number of partitions keeps the few bytes of the words from being coalesced into one slow task
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return words.repartition(parts, "word").mapInArrow(kernel, schema)
 
 
 def beyond_ascii(column: F.Column) -> F.Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbatlas.llm import bpe, groups, mojibake, overlap, spans, terms
+from verbatlas.llm import bpe, groups, mojibake, overlap, packing, spans, terms
 from verbatlas.session import read
 
 
@@ -62,6 +62,16 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"))
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every piece of every text, for each capacity."""
+    return packing.pack(read(spark, sf_dir, "documents"), read(spark, sf_dir, "pack_limits"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the containers are filled."""
+    return packing.fill_report(p8_containers(spark, sf_dir), read(spark, sf_dir, "pack_limits"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal runs of characters that stand verbatim in another document."""
     return spans.shared_spans(read(spark, sf_dir, "documents"))
@@ -74,7 +84,7 @@ def p9_shared_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_terms": p4_terms, "p6_found": p6_found, "p6_splits": p6_splits, "p6_one_split": p6_one_split, "p7_ids": p7_ids, "p9_found": p9_found, "p9_shared_amount": p9_shared_amount}
+    return {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_terms": p4_terms, "p6_found": p6_found, "p6_splits": p6_splits, "p6_one_split": p6_one_split, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_shared_amount": p9_shared_amount}
 
 
 P4_TERMS = """

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbatlas.plans import training_data
+from verbatlas.plans import tagging, text_actions, training_data
 
-MODULES = (training_data,)
+MODULES = (text_actions, tagging, training_data)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,7 +8,7 @@ A small recursive-descent parser reads the grammar
 and returns for every record either its fields or the first error with its place. After a broken quote the
 parser resumes at the next validated record start, a line whose first field is a record id
 (``document:number:number``) and whose second field is that same document, so one broken quote costs one
-record and never the rest of the file. Where the delivery already has one record per row, the row is the
+record and never the rest of the file; a quoted field that runs over such a start is a broken one. Where the delivery already has one record per row, the row is the
 record, and line ends outside quotes are ordinary characters.
 
 Valid fields become a typed record; otherwise the first reason that applies is kept: ``quoting``, ``columns``,
@@ -104,6 +104,9 @@ class RecordParser:
                 break
             close += 1
         end = close + 1
+        if self.lines and "\n" in text[at:close] and ANCHOR.search(text, at + 1, close):
+            found.error_at, found.error = at, "a quoted field without end before the next record"
+            return end
         if end < len(text) and text[end] != "," and not (self.lines and text[end] == "\n"):
             found.error_at, found.error = end, "text after the end of a quoted field"
         found.fields.append(text[at + 1 : close].replace('""', '"'))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from verbatlas.functions import lexicon as lx
 from verbatlas.operators import actions, text
-from verbatlas.session import read
+from verbatlas.session import read, spread
 from verbatlas.sources import sinks
 
 #: Verbs of the test documents beyond the base vocabulary.
@@ -16,7 +16,7 @@ STRICT = actions.ExtractionOptions(min_confidence=0.7)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,3 +102,12 @@ def drop_materialized(df: DataFrame) -> None:
     """Remove the files behind a frame made by :func:`materialize` before the driver exits."""
     for path in {os.path.dirname(p) for p in df.inputFiles()}:
         _remove(df.sparkSession, path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread the rows of a small input over all cores before work that is heavy on each row.
+
+    An input with at least as many partitions as cores (any large one) is left as it is and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verbatlas.operators.text import computed_once
+
 #: A well-formed tag; roles may hold hyphens.
 WELL_FORMED = r"^(?:O|[BI]-(?s:.+))$"
 
@@ -58,19 +60,21 @@ def continuation(tag: Column) -> Column:
 
 
 def decode(tags: Column) -> Column:
-    """``array<struct<label, start, end>>`` of tags without orphans: each span from its ``B`` tag on."""
-    starts = F.filter(F.transform(tags, lambda t, i: F.when(prefix_of(t) == "B", i)), lambda i: i.isNotNull())
-    closes = F.transform(tags, lambda t, i: F.when(prefix_of(t) != "I", i))
-
-    def span(start: Column) -> Column:
-        after = F.array_min(F.filter(closes, lambda c: c > start))
-        return F.struct(
-            label_of(F.element_at(tags, start + 1)).alias("label"),
-            start.cast("int").alias("start"),
-            F.coalesce(after, F.size(tags)).cast("int").alias("end"),
+    """``array<struct<label, start, end>>`` of tags without orphans: each span is a ``B`` and the ``I`` behind it.
+
+    The prefixes of all tags are bound once as one string, in which a span is a short regular expression.
+    """
+    prefixes = F.array_join(F.transform(tags, prefix_of), "")
+
+    def spans(letters: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.char_length(letters)), lambda i: F.substring(letters, i + 1, F.lit(1)) == "B")
+        size = lambda i: F.char_length(F.regexp_extract(F.substring(letters, i + 1, F.char_length(letters)), "^BI*", 0))
+        return F.transform(
+            starts,
+            lambda i: F.struct(label_of(F.element_at(tags, i + 1)).alias("label"), i.cast("int").alias("start"), (i + size(i)).cast("int").alias("end")),
         )
 
-    return F.transform(starts, span)
+    return F.element_at(F.transform(F.array(prefixes), spans), 1)
 
 
 def decoded(df: DataFrame, tags_col: str = "tags", repair_tags: bool = True) -> DataFrame:
@@ -80,13 +84,13 @@ def decoded(df: DataFrame, tags_col: str = "tags", repair_tags: bool = True) ->
     always is.
     """
     tags = F.col(tags_col)
-    checked = df.withColumn("_bad", malformed_at(tags)).withColumn("_orphan", orphan_at(tags))
+    checked = computed_once(computed_once(df, "_bad", malformed_at(tags)), "_orphan", orphan_at(tags))
     error = F.when(F.col("_bad").isNotNull(), F.concat(F.lit("invalid BIO tag at word "), F.col("_bad").cast("string")))
     if not repair_tags:
         error = error.when(F.col("_orphan").isNotNull(), F.concat(F.lit("invalid I-tag transition at word "), F.col("_orphan").cast("string")))
     good = F.when(F.col("_bad").isNull(), repair(tags) if repair_tags else tags)
-    changed = F.size(F.filter(F.zip_with(tags, good, lambda a, b: a != b), lambda x: x)) if repair_tags else F.lit(0)
-    rows = checked.withColumn("error", error).withColumn("_good", F.when(F.col("error").isNull(), good))
+    changed = F.size(F.filter(F.zip_with(tags, F.col("_good"), lambda a, b: a != b), lambda x: x)) if repair_tags else F.lit(0)
+    rows = computed_once(checked.withColumn("error", error), "_good", F.when(F.col("error").isNull(), good))
     return (
         rows.withColumn("spans", F.coalesce(decode(F.col("_good")), F.array().cast("array<struct<label:string,start:int,end:int>>")))
         .withColumn("repaired", F.when(F.col("_good").isNotNull(), changed).otherwise(0))

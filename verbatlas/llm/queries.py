@@ -122,8 +122,36 @@ SELECT document_id, first(split ORDER BY (split IS NULL)::INT, n DESC, o, split
   (sum(n) - coalesce(max(n) FILTER (WHERE split IS NOT NULL), 0))::BIGINT AS moved FROM c GROUP BY document_id"""
 
 
+P3_PAIRS = """
+WITH x AS (SELECT DISTINCT example_id, split, source, list_sort(list_distinct(list_transform(list_filter(words, lambda w: w IS NOT NULL), lambda w: lower(w)))) AS s
+  FROM srl_examples WHERE example_id IS NOT NULL AND split IN ('train', 'development', 'test')),
+p AS (SELECT e.example_id AS e, t.example_id AS t, e.s = t.s AS same FROM x e JOIN x t ON e.split <> 'train' AND t.split = 'train' AND e.example_id <> t.example_id
+  AND 4 * len(e.s) >= 3 * len(t.s) AND 4 * len(t.s) >= 3 * len(e.s) AND len(e.s) > 0
+  AND 7 * len(list_intersect(e.s, t.s)) >= 3 * (len(e.s) + len(t.s)))"""
+
+P3_REPORT = f"""{P3_PAIRS},
+h AS (SELECT e AS example_id, bool_or(same) AS exact, count(*) AS n FROM p GROUP BY e)
+SELECT split, source, count(*)::BIGINT AS examples, count(*) FILTER (WHERE exact)::BIGINT AS exact_examples, count(*) FILTER (WHERE NOT exact)::BIGINT AS changed_examples,
+  coalesce(sum(n), 0)::BIGINT AS pairs FROM x LEFT JOIN h USING (example_id) WHERE split <> 'train' GROUP BY split, source"""
+
+P9_SPANS = """
+WITH w AS (SELECT doc_id, i, text[i + 1 : i + 150] AS t FROM (SELECT doc_id, text, unnest(range(length(text) - 149)) AS i FROM documents WHERE length(text) >= 150)),
+shared AS (SELECT t FROM w GROUP BY t HAVING min(doc_id) <> max(doc_id)),
+hit AS (SELECT doc_id, i FROM w SEMI JOIN shared USING (t)),
+mark AS (SELECT *, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 150, true) AS fresh FROM hit),
+isl AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM mark),
+span AS (SELECT doc_id, min(i)::INT AS span_start, (max(i) + 150)::INT AS span_end FROM isl GROUP BY doc_id, g)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": f"{P3_PAIRS} SELECT DISTINCT least(e, t) AS example_id_a, greatest(e, t) AS example_id_b FROM p",
+        "p3_report": P3_REPORT,
+        "p9_found": f"{P9_SPANS} SELECT * FROM span",
+        "p9_shared_amount": f"""{P9_SPANS}
+SELECT doc_id, coalesce(length(text), 0)::BIGINT AS chars, coalesce(n, 0)::BIGINT AS shared_chars,
+  CASE WHEN length(text) > 0 THEN coalesce(n, 0) / length(text) ELSE 0 END::DOUBLE AS shared_share, coalesce(k, 0)::BIGINT AS spans
+FROM documents LEFT JOIN (SELECT doc_id, sum(span_end - span_start) AS n, count(*) AS k FROM span GROUP BY doc_id) USING (doc_id)""",
         "p6_found": P6_FOUND,
         "p6_one_split": P6_ONE_SPLIT,
         "p4_terms": P4_TERMS,

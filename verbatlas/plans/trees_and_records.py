@@ -257,6 +257,21 @@ SELECT raw_label, CASE WHEN core THEN regexp_extract(raw_label, '^((?:C-|R-)?ARG
   CASE WHEN core OR modi THEN NULL WHEN raw_label IN ('ARGM', 'C-ARGM', 'R-ARGM') THEN 'argm_feature_missing' ELSE 'unsupported_role' END AS reason_code
 FROM (SELECT *, regexp_full_match(raw_label, '(C-|R-)?ARG([0-9]+|A)(-[A-Za-z0-9][A-Za-z0-9_.-]*)?') AS core,
   regexp_full_match(raw_label, '(C-|R-)?ARGM-[A-Za-z0-9][A-Za-z0-9_.-]*') AS modi FROM l WHERE raw_label <> '')""",
+        "prop_records": f"""{RECORDS},
+starts AS (SELECT example_id, count(*) FILTER (WHERE tag <> 'O' AND (tag[1] = 'B' OR coalesce(plabel, '') <> label)) AS n
+  FROM (SELECT *, lag(label) OVER (PARTITION BY example_id ORDER BY pos) AS plabel FROM lab) GROUP BY example_id)
+SELECT example_id, document_id, sentence_index, predicate_roleset AS roleset, 'modern' AS dialect, 'v' AS kind, starts.n::INT AS n_labels,
+  CASE WHEN v.n <> 1 THEN 'predicate_label_count_invalid' END AS record_error FROM use_ JOIN starts USING (example_id) JOIN vcount v USING (example_id)""",
+        "subword_alignment": """
+WITH ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY example_id) AS rn FROM (SELECT DISTINCT example_id, words, tags, predicate_index FROM srl_examples)) WHERE rn = 1),
+w AS (SELECT example_id, unnest(words) AS word, unnest(tags) AS tag FROM ex),
+c AS (SELECT example_id, sum(greatest(1, ceil(length(coalesce(word, '')) / 4)))::INT AS pieces,
+  coalesce(sum(greatest(1, ceil(length(coalesce(word, '')) / 4))) FILTER (WHERE tag = 'O'), 0)::INT AS outside,
+  bool_or(NOT regexp_full_match(tag, '(?s)O|[BI]-.+')) AS bad, bool_or(NOT regexp_full_match(tag, 'O|[BI]-(ARG[012]|V|ARGM-TMP|ARGM-LOC)')) AS missing FROM w GROUP BY example_id),
+e AS (SELECT example_id, pieces, outside, CASE WHEN pieces IS NULL THEN 'words cannot be empty' WHEN bad THEN 'invalid BIO tag' WHEN missing THEN 'label mapping is missing an aligned tag' END AS align_error
+  FROM ex LEFT JOIN c USING (example_id))
+SELECT example_id, align_error, coalesce(pieces, 0) + 2 AS n_pieces, CASE WHEN align_error IS NULL THEN 2 ELSE -1 END AS n_special,
+  CASE WHEN align_error IS NULL THEN 1 ELSE -1 END AS n_indicated, CASE WHEN align_error IS NULL THEN outside ELSE -1 END AS n_outside FROM e""",
         "conversion_outcomes": f"{RECORDS} SELECT record_id, document_id, reason_code FROM out_",
         "coverage_report": f"{RECORDS} SELECT reason_code, count(*)::BIGINT AS records, round(count(*) / (SELECT count(*) FROM out_), 6) AS share FROM out_ GROUP BY reason_code",
         "bio_from_pointers": f"""{RECORDS}

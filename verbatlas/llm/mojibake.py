@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from verbatlas.session import ship
 
 #: Encodings that UTF-8 bytes are taken for, most usual first.
-CODECS = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251")
+CODECS = ("cp1252", "latin-1", "iso8859-15", "cp437", "cp850", "mac_roman", "cp1251")
 
 #: Encodings that do so several times over.
 REPEATED = ("cp1252", "latin-1")
@@ -35,9 +35,10 @@ MAX_LAYERS = 4
 
 LOST = "�"
 
-#: Blocks whose characters may stand in an original: letters of living scripts, typographic signs.
+#: Ranges whose characters may stand in an original: letters of living scripts (without ligatures, phonetic and
+#: outdated letters, which garbled capitals imitate) and typographic signs.
 PLAUSIBLE = (
-    (0x00A1, 0x00FF), (0x0100, 0x017F), (0x0218, 0x021B), (0x0386, 0x03CE), (0x0400, 0x045F), (0x0490, 0x0491),
+    (0x00A1, 0x00FF), (0x0100, 0x0131), (0x0134, 0x0137), (0x0139, 0x013E), (0x0141, 0x0148), (0x014C, 0x0165), (0x0168, 0x017E), (0x0218, 0x021B), (0x0386, 0x03CE), (0x0400, 0x045F), (0x0490, 0x0491),
     (0x05D0, 0x05EA), (0x0620, 0x064A), (0x0905, 0x0939), (0x0E01, 0x0E30), (0x1E80, 0x1E85), (0x1EA0, 0x1EF9),
     (0x2010, 0x2015), (0x2018, 0x201E), (0x2020, 0x2022), (0x2026, 0x2026), (0x2030, 0x2033), (0x2039, 0x203A),
     (0x20A0, 0x20BF), (0x2100, 0x214F), (0x2150, 0x215E), (0x2190, 0x21FF), (0x2200, 0x22FF), (0x3001, 0x3011),
@@ -103,6 +104,13 @@ def forms(word: str) -> dict[str, str]:
     return found
 
 
+def script_of(point: int) -> str:
+    """The script of a letter, by block."""
+    if point < 0x250 or 0x1E00 <= point < 0x1F00:
+        return "latin"
+    return "greek" if point < 0x400 else "cyrillic" if point < 0x530 else "east" if point >= 0x3000 else f"block {point >> 7}"
+
+
 def plausible(word: str) -> bool:
     """Whether a decoded word may be an original: living scripts only, and one script in a run of letters."""
     script = ""
@@ -114,7 +122,7 @@ def plausible(word: str) -> bool:
         elif not any(a <= point <= b for a, b in PLAUSIBLE):
             return False
         if c.isalpha():
-            kind = "greek" if 0x370 <= point < 0x400 else "cyrillic" if 0x400 <= point < 0x530 else "latin" if point < 0x1F00 else "other"
+            kind = script_of(point)
             if script and kind != script:
                 return False
             script = kind

@@ -18,7 +18,7 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where damaged words stand."""
-    return p1_restored(spark, sf_dir).select("table_name", "record_id", "word_pos")
+    return p1_restored(spark, sf_dir).select("table_name", "record_id", "word_pos").distinct()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

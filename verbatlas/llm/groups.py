@@ -37,7 +37,7 @@ WAVES = (0.001, 0.02, 1.0)
 def tying_values(rows: DataFrame, doc_col: str, keys: Sequence[str]) -> DataFrame:
     """``(node, value)``: distinct document and tying value, each kind of value apart from the others."""
     present = rows.where(F.col(doc_col).isNotNull())
-    values = F.array(*(F.when(F.trim(F.col(k)) != "", F.concat(F.lit(f"{i}:"), F.col(k))) for i, k in enumerate(keys)))
+    values = F.array(*(F.when(F.col(k).rlike(r"[^\s\p{Z}]"), F.concat(F.lit(f"{i}:"), F.col(k))) for i, k in enumerate(keys)))
     return present.select(F.col(doc_col).alias("node"), F.explode(values).alias("value")).where("value is not null").distinct()
 
 

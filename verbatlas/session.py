@@ -111,3 +111,11 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def parameter_rows(df: DataFrame, most: int) -> list:
+    """The rows of a parameter table, which has at most ``most``; a larger one is an error, never cut."""
+    rows = df.take(most + 1)
+    if len(rows) > most:
+        raise ValueError(f"a parameter table has more than {most} rows")
+    return rows

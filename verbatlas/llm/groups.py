@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbatlas.session import materialize, ship
+from verbatlas.session import materialize, parameter_rows, ship
 
 BIG, BLOCK, JUMPS = 200, 5_000, 3
 
@@ -99,7 +99,7 @@ def assign_splits(
     """
     spark = rows.sparkSession
     ship(spark)
-    listed = [(r["split"], float(r["share"])) for r in targets.where("split is not null and share > 0").orderBy("split").limit(1000).collect()]
+    listed = [(r["split"], float(r["share"])) for r in parameter_rows(targets.where("split is not null and share > 0").orderBy("split"), 1000)]
     whole = sum(share for _, share in listed)
     shares = {split: share / whole for split, share in listed}
     splits = list(shares)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbatlas.llm.bpe import TOKENIZERS, count_tokens
-from verbatlas.session import materialize
+from verbatlas.session import materialize, parameter_rows
 
 LEVELS = 8192
 
@@ -83,7 +83,7 @@ def pack(
     """``(container_kind, container_id, doc_id, piece, token_start, token_end)`` of every piece of every text
     for each capacity of ``limits(container_kind, capacity)``, a parameter table of a few rows."""
     spark = documents.sparkSession
-    kinds = [(r.container_kind, int(r.capacity)) for r in limits.where("capacity >= 1").distinct().orderBy("container_kind", "capacity").limit(100).collect()]
+    kinds = [(r.container_kind, int(r.capacity)) for r in parameter_rows(limits.where("capacity >= 1").distinct().orderBy("container_kind", "capacity"), 100)]
     counted = count_tokens(documents, vocabulary, id_col, text_col, tokenizers)
     counted = materialize(counted.select(F.col(id_col).alias("id"), "n_tokens").where("id is not null and n_tokens > 0"), "token-counts")
     schema = "container_kind string, id {}, piece int, token_start int, token_end int, length int".format(counted.schema["id"].dataType.simpleString())

@@ -41,23 +41,32 @@ def bracket_text(leaves: Column) -> Column:
     return F.concat(F.array_join(F.transform(leaves, piece), ""), F.repeat(F.lit(")"), F.size(last["path"])))
 
 
-CLEAN = r"^[^\s()]+$"
+WHITE = r"[\p{Z}\t\n\x0B\f\r\x1c-\x1f\x85]"
 
 
-def sentence_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(document_id, sentence_index, source)`` of the sentences whose leaves are all usable."""
-    leaves = read(spark, sf_dir, "penn_terminals").select("document_id", "sentence_index", "terminal_index", "word", "pos", "preterminal_path").distinct()
-    white = F.coalesce(F.col("word").rlike(CLEAN) & F.col("pos").rlike(CLEAN), F.lit(False))
-    grouped = leaves.groupBy("document_id", "sentence_index").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("terminal_index").alias("t"), F.col("preterminal_path").alias("path"), "pos", "word"))).alias("leaves"),
-        F.min(white).alias("usable"),
-    )
-    whole = (F.size("leaves") == F.element_at("leaves", F.lit(-1))["t"] + 1) & F.col("usable")
-    return grouped.where(whole).select("document_id", "sentence_index", bracket_text(F.col("leaves")).alias("source"))
+def written(text: Column) -> Column:
+    """A text as one token of brackets and records: -LRB- and -RRB- for brackets, _ for white space, -NULL- and -EMPTY- for none."""
+    token = F.regexp_replace(F.replace(F.replace(text, F.lit("("), F.lit("-LRB-")), F.lit(")"), F.lit("-RRB-")), WHITE, "_")
+    return F.when(text.isNull(), "-NULL-").when(text == "", "-EMPTY-").otherwise(token)
+
+
+def sentence_trees(terminals: DataFrame) -> DataFrame:
+    """``(document_id, sentence_index, whole, source)`` of all sentences; ``source`` is null unless the leaves are numbered from 0 without gap or repetition."""
+    leaves = terminals.select("document_id", "sentence_index", "terminal_index", "word", "pos", "preterminal_path").distinct()
+    leaf = F.struct(F.col("terminal_index").alias("t"), F.col("preterminal_path").alias("path"), written(F.col("pos")).alias("pos"), written(F.col("word")).alias("word"))
+    grouped = leaves.groupBy("document_id", "sentence_index").agg(F.array_sort(F.collect_list(leaf)).alias("leaves"))
+    numbered = F.forall(F.transform("leaves", lambda x, i: x["t"].eqNullSafe(i) & x["path"].isNotNull()), lambda good: good)
+    return grouped.withColumn("whole", numbered).select("document_id", "sentence_index", "whole", F.when(F.col("whole"), bracket_text(F.col("leaves"))).alias("source"))
+
+
+def parsed_terminals(terminals: DataFrame) -> DataFrame:
+    """The trees of all sentences, one row each; leaves that are not whole have the tree_error ``tree_terminals_incomplete``."""
+    found = trees.parse_trees(sentence_trees(terminals), "source", "document_id", "sentence_index", "whole", single=True)
+    return found.withColumn("tree_error", F.when(F.col("whole"), F.col("tree_error")).otherwise("tree_terminals_incomplete")).drop("whole")
 
 
 def parsed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.parse_trees(sentence_trees(spark, sf_dir), "source", "document_id", "sentence_index", single=True)
+    return parsed_terminals(read(spark, sf_dir, "penn_terminals"))
 
 
 def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

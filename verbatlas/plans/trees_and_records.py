@@ -35,7 +35,7 @@ def bracket_text(leaves: Column) -> Column:
         before = F.when(i > 0, F.try_element_at(leaves, F.greatest(i, F.lit(1)))["path"])
         shared = F.when(i > 0, common_levels(before, x["path"]) + 1).otherwise(0)
         closes = F.when(i > 0, F.repeat(F.lit(")"), F.size(before) - shared)).otherwise("")
-        return F.concat(closes, F.repeat(F.lit("(X "), F.size(x["path"]) - shared), F.lit("("), x["pos"], F.lit(" "), x["word"], F.lit(")"))
+        return F.concat(closes, F.repeat(F.lit("(X "), F.size(x["path"]) - shared), F.lit("("), written(x["pos"]), F.lit(" "), written(x["word"]), F.lit(")"))
 
     last = F.element_at(leaves, F.lit(-1))
     return F.concat(F.array_join(F.transform(leaves, piece), ""), F.repeat(F.lit(")"), F.size(last["path"])))
@@ -52,9 +52,8 @@ def written(text: Column) -> Column:
 
 def sentence_trees(terminals: DataFrame) -> DataFrame:
     """``(document_id, sentence_index, whole, source)`` of all sentences; ``source`` is null unless the leaves are numbered from 0 without gap or repetition."""
-    leaves = terminals.select("document_id", "sentence_index", "terminal_index", "word", "pos", "preterminal_path").distinct()
-    leaf = F.struct(F.col("terminal_index").alias("t"), F.col("preterminal_path").alias("path"), written(F.col("pos")).alias("pos"), written(F.col("word")).alias("word"))
-    grouped = leaves.groupBy("document_id", "sentence_index").agg(F.array_sort(F.collect_list(leaf)).alias("leaves"))
+    leaf = F.struct(F.col("terminal_index").alias("t"), F.col("preterminal_path").alias("path"), "pos", "word")
+    grouped = terminals.groupBy("document_id", "sentence_index").agg(F.array_sort(F.collect_set(leaf)).alias("leaves"))
     numbered = F.forall(F.transform("leaves", lambda x, i: x["t"].eqNullSafe(i) & x["path"].isNotNull()), lambda good: good)
     return grouped.withColumn("whole", numbered).select("document_id", "sentence_index", "whole", F.when(F.col("whole"), bracket_text(F.col("leaves"))).alias("source"))
 
@@ -112,29 +111,49 @@ def pointer_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("document_id", "sentence_index", "t", "h", "pointer_error", F.coalesce("nt", F.lit(-1)).alias("nt"), F.coalesce(F.size("surface"), F.lit(-1)).alias("n_surface"))
 
 
-def record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(example_id, line)``: records of the examples whose sentence has a usable tree with as many words."""
-    rows = read(spark, sf_dir, "srl_examples").select("example_id", "document_id", "words", "predicate_index", "tags", "predicate_roleset").dropDuplicates(["example_id"])
-    rows = rows.where(F.col("predicate_roleset").rlike(r"^[a-z]+\.[0-9]+$")).withColumn("sentence_index", F.element_at(F.split("example_id", ":"), -2).cast("int"))
-    rows = bio.decoded(rows).where("error is null")
-    joined = rows.join(parsed_sentences(spark, sf_dir).where("tree_error is null"), ["document_id", "sentence_index"])
-    at = F.transform(F.filter(F.transform("terminals", lambda t, i: F.struct(t["surface"].alias("s"), i.alias("i"))), lambda x: x["s"].isNotNull()), lambda x: x["i"])
-    joined = joined.withColumn("at", at).where(F.size("at") == F.size("words"))
+def record_lines(examples: DataFrame, parsed: DataFrame) -> DataFrame:
+    """``(example_id, example_error, line)``: a record of every example.
+
+    Pointers are the terminals of the words in the tree, or the numbers of the words where no tree can tell. What a line
+    cannot say is ``example_error``: ``example_tags_invalid``, ``example_word_count_mismatch`` (with the tree).
+    """
+    size = lambda c: F.coalesce(F.array_size(c), F.lit(0))
+    rows = examples.select("example_id", "document_id", size("words").alias("n_words"), "predicate_index", "tags", "predicate_roleset").dropDuplicates(["example_id"])
+    rows = rows.withColumn("sentence_index", F.try_element_at(F.split("example_id", ":"), F.lit(-2)).try_cast("int")).withColumn("n_tags", size("tags"))
+    invalid = F.col("error").isNotNull() | (F.col("n_tags") == 0) | (F.col("n_tags") != F.col("n_words"))
+    rows = bio.decoded(rows).withColumn("invalid", invalid).drop("tags", "repaired", "error")
+    in_tree = F.transform(F.filter(F.transform("terminals", lambda t, i: F.struct(t["surface"].alias("s"), i.alias("i"))), lambda x: x["s"].isNotNull()), lambda x: x["i"])
+    sentences = parsed.select("document_id", "sentence_index", F.when(F.col("tree_error").isNull(), in_tree).alias("in_tree"))
+    joined = rows.join(sentences, ["document_id", "sentence_index"], "left")
+    mismatch = F.col("in_tree").isNotNull() & (size("in_tree") != F.col("n_words"))
+    by_number = F.transform(F.array_repeat(F.lit(0), F.col("n_tags")), lambda _, i: i)
+    joined = joined.withColumn("example_error", F.when(F.col("invalid"), "example_tags_invalid").when(mismatch, "example_word_count_mismatch"))
+    joined = joined.withColumn("at", F.when(F.col("in_tree").isNotNull() & F.col("example_error").isNull(), F.col("in_tree")).otherwise(by_number))
     node = lambda w: F.concat(F.element_at("at", w + 1).cast("string"), F.lit(":0"))
     pointer = lambda s: F.array_join(F.transform(F.sequence(s["start"], s["end"] - 1), node), ",")
     label = lambda s: F.concat(pointer(s), F.lit("-"), F.when(s["label"] == "V", "rel").otherwise(s["label"]))
-    lemma = F.substring_index("predicate_roleset", ".", 1)
-    head = F.concat_ws(" ", "document_id", F.col("sentence_index").cast("string"), F.element_at("at", F.col("predicate_index") + 1).cast("string"), F.lit("gold"), F.concat(lemma, F.lit("-v")), "predicate_roleset", F.lit("-----"))
-    return joined.select("example_id", F.concat_ws(" ", head, F.array_join(F.transform("spans", label), " ")).alias("line"))
+    lemma = F.substring_index(written(F.col("predicate_roleset")), ".", 1)
+    predicate = F.when(F.col("predicate_index") >= 0, F.try_element_at("at", F.col("predicate_index") + 1))
+    head = F.concat_ws(
+        " ", written(F.col("document_id")), written(F.col("sentence_index").cast("string")), written(predicate.cast("string")), F.lit("gold"),
+        F.concat(lemma, F.lit("-v")), written(F.col("predicate_roleset")), F.lit("-----"),
+    )
+    return joined.select("example_id", "example_error", F.concat_ws(" ", head, F.array_join(F.transform("spans", label), " ")).alias("line"))
+
+
+def example_records(examples: DataFrame, parsed: DataFrame) -> DataFrame:
+    """The parsed records of all examples; ``example_error`` comes before what the line shows."""
+    found = propositions.parse_records(record_lines(examples, parsed))
+    return found.withColumn("record_error", F.coalesce("example_error", "record_error"))
 
 
 def conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = propositions.parse_records(record_lines(spark, sf_dir))
-    return propositions.conversion_rows(records, parsed_sentences(spark, sf_dir))
+    parsed = parsed_sentences(spark, sf_dir).withColumn("terminals", F.transform("terminals", lambda t: t.dropFields("path")))
+    return propositions.conversion_rows(example_records(read(spark, sf_dir, "srl_examples"), parsed), parsed)
 
 
 def prop_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = propositions.parse_records(record_lines(spark, sf_dir))
+    found = example_records(read(spark, sf_dir, "srl_examples"), parsed_sentences(spark, sf_dir))
     return found.select("example_id", "document_id", "sentence_index", "roleset", "dialect", "kind", F.size("labels").alias("n_labels"), "record_error")
 
 

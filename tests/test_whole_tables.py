@@ -1,5 +1,5 @@
 from verbatlas.operators import propositions, trees
-from verbatlas.plans import trees_and_records as plans
+from verbatlas.plans import corpus, trees_and_records as plans
 
 LEAF = "document_id string, sentence_index int, terminal_index int, word string, pos string, preterminal_path array<int>"
 
@@ -43,3 +43,12 @@ def test_every_example_has_a_record_and_a_reason(spark):
     found = propositions.conversion_rows(records, parsed)
     assert sorted((r.raw_line, r.reason_code or "") for r in found.collect()) == sorted((lines[e[0]], e[5] or "") for e in examples)
     assert {r.reason_code: r.records for r in propositions.coverage(found).collect()}[None] == 2
+
+
+def test_layers_take_all_documents(spark, tmp_path):
+    examples = [("mail-3", "go.01"), ("mail-1", "ship.01"), ("mail-1", None), ("mail-2", None)]
+    spark.createDataFrame(examples, "document_id string, predicate_roleset string").write.parquet(f"{tmp_path}/srl_examples.parquet")
+    spark.createDataFrame([("mail-1",), ("mail-3",), ("mail-4",)], "document_id string").write.parquet(f"{tmp_path}/penn_terminals.parquet")
+    assert {r.document_id for r in corpus.layer_join(spark, str(tmp_path)).collect()} == {"mail-1", "mail-3"}
+    assert {tuple(r) for r in corpus.missing_layers(spark, str(tmp_path)).select("layer", "document_id").collect()} == {("prop", "mail-2"), ("ptb", "mail-2"), ("text", "mail-4"), ("prop", "mail-4")}
+    assert {r.layer: r.files for r in corpus.layer_summary(spark, str(tmp_path)).collect()} == {"text": 3, "ptb": 3, "prop": 2}

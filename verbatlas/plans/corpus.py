@@ -16,11 +16,11 @@ from verbatlas.session import read
 
 
 def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    examples = read(spark, sf_dir, "srl_examples").select("document_id", "predicate_roleset", "source")
+    examples = read(spark, sf_dir, "srl_examples").select("document_id", "predicate_roleset")
     sides = {
-        "text": examples.where("source is not null and document_id not like '%3'").select("document_id"),
+        "text": examples.select("document_id"),
         "ptb": read(spark, sf_dir, "penn_terminals").select("document_id"),
-        "prop": examples.where("predicate_roleset like 'w%'").select("document_id"),
+        "prop": examples.where("predicate_roleset is not null").select("document_id"),
     }
     spoken = F.substring_index("document_id", "-", 1).isin("call", "minutes")
     each = [df.where("document_id is not null").distinct().select(F.lit(n).alias("layer"), "document_id") for n, df in sides.items()]

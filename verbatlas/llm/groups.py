@@ -4,13 +4,17 @@
    pairs of documents. Each round hooks every node to the smallest node of its values, follows the hooks a
    few steps and contracts; values with one node left drop out. The edges shrink each round and lie in a
    written table. A value shared by a third of all documents is aggregated, with partial aggregation.
-2. Label vectors. Rows are counted per component and label (the roleset); a component belongs to its
-   rarest label.
-3. Placement. Components beyond 1 / BIG of all rows (at most BIG of them) are placed first, the largest
-   first, where most is missing. The others follow in waves from the rarest labels to the most common.
-   Inside a wave each label is a block of its own (a common label several, of at most BLOCK components), in
-   which components go, the largest first, to the split that misses most of the label, then of all rows.
-   After a wave the outstanding needs of all labels are counted anew.
+2. Label vectors. Rows are counted per component and label (the roleset).
+3. Placement by iterative stratification: the label with the fewest outstanding rows comes first; its components
+   go, the richest in it first, each into the split that needs the label most (then rows; a split that has all its
+   rows needs nothing), and take all their other labels along, so that the next rarest label is found among what is
+   outstanding then.
+
+Placement runs in blocks, each an independent task. The components that are a ``HEAVY``-th of all rows or more (at most
+``HEAVY`` can be) are one block and come first, against the needs of the whole collection. What they
+leave is needed of the others, which are spread by hash over blocks of about ``BLOCK`` components; every block gets
+its part of each label's needs, cut from one running sum over the blocks, so that the parts add up and a label that
+is rare inside blocks still meets its proportions over all of them.
 
 Defined results: rows with null document are left out; null or blank authors and null sentences tie
 nothing; other values tie exactly as stored; a null roleset is a label of its own; a row delivered twice
@@ -19,19 +23,17 @@ counts once; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
 from collections.abc import Sequence
-from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbatlas.session import materialize, parameter_rows, ship
 
-BIG, BLOCK, JUMPS = 200, 5_000, 3
-
-#: Upper ends of the shares of all rows that the labels of a wave have.
-WAVES = (0.001, 0.02, 1.0)
+HEAVY, BLOCK, JUMPS = 200, 5_000, 3
 
 
 def tying_values(rows: DataFrame, doc_col: str, keys: Sequence[str]) -> DataFrame:
@@ -51,8 +53,8 @@ def components(rows: DataFrame, doc_col: str = "document_id", keys: Sequence[str
         hooks = materialize(hooked.groupBy("node").agg(F.min("low").alias("low")), "hooks")
         if hooks.isEmpty():
             break
-        for _ in range(JUMPS):  # follow the hooks: low := low of low
-            further = hooks.select(F.col("node").alias("low"), F.col("low").alias("lower"))
+        further = hooks.select(F.col("node").alias("low"), F.col("low").alias("lower"))  # as written
+        for _ in range(JUMPS):  # follow the hooks
             hooks = hooks.join(further, "low").select("node", F.col("lower").alias("low"))
         hooks = materialize(hooks, "hooks")
         tied = hooked.select("node", "value")
@@ -68,21 +70,56 @@ def components(rows: DataFrame, doc_col: str = "document_id", keys: Sequence[str
     return groups
 
 
-def place(block: pd.DataFrame, shares: dict[str, float]) -> pd.DataFrame:
-    """Place the components of one block ``(group, size, of_label)``: the largest first, into the split that
-    misses most of the label, then of the rows. ``need_*`` and ``rows_*`` are the block's outstanding needs."""
-    block = block.sort_values(["of_label", "size", "group"], ascending=[False, False, True])
-    splits = list(shares)
-    label = {s: float(block[f"need_{i}"].iloc[0]) for i, s in enumerate(splits)}
-    rows = {s: float(block[f"rows_{i}"].iloc[0]) for i, s in enumerate(splits)}
-    every_label, every_row = max(1.0, float(block.of_label.sum())), max(1.0, float(block["size"].sum()))
-    chosen = []
-    for size, count in zip(block["size"], block.of_label):
-        best = max(splits, key=lambda s: (label[s] / every_label + rows[s] / every_row, shares[s], s))
-        label[best] -= count
-        rows[best] -= size
-        chosen.append(best)
-    return pd.DataFrame({"group": block.group.to_numpy(), "split": chosen})
+def stratify(vectors: pd.DataFrame, shares: Sequence[float]) -> list[tuple[str, int]]:
+    """``(group, split number)`` of the components of one block, by iterative stratification.
+
+    ``vectors`` has a row ``group, label, n, need_*, rows_*`` for each component and label; ``need_i`` is what split i
+    needs of the label, ``rows_i`` what it needs of rows.
+    """
+    numbers = range(len(shares))
+    holds: dict[str, dict[str, int]] = defaultdict(dict)
+    of_label: dict[str, list[str]] = defaultdict(list)
+    outstanding: dict[str, int] = defaultdict(int)
+    need: dict[str, list[float]] = {}
+    rows = [float(vectors[f"rows_{i}"].iloc[0]) for i in numbers]
+    for group, label, n, *needs in vectors[["group", "label", "n", *(f"need_{i}" for i in numbers)]].itertuples(index=False):
+        holds[group][label] = n
+        of_label[label].append(group)
+        outstanding[label] += n
+        need[label] = needs
+    size = {group: sum(labels.values()) for group, labels in holds.items()}
+    placed: list[tuple[str, int]] = []
+    queue = [(n, label) for label, n in outstanding.items()]
+    heapq.heapify(queue)
+    while queue:
+        n, label = heapq.heappop(queue)
+        if n != outstanding[label] or not n:
+            continue  # counted anew since, or all placed
+        touched = set()
+        for group in sorted((g for g in of_label[label] if g in holds), key=lambda g: (-holds[g][label], -size[g], g)):
+            wants = need[label]
+            best = max(numbers, key=lambda i: (rows[i] > 0, wants[i], rows[i], shares[i], -i))
+            for other, m in holds.pop(group).items():
+                need[other][best] -= m
+                outstanding[other] -= m
+                touched.add(other)
+            rows[best] -= size[group]
+            placed.append((group, best))
+        for other in touched - {label}:
+            heapq.heappush(queue, (outstanding[other], other))
+    return placed
+
+
+def placed_blocks(vectors: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """``(group, split)`` of vectors with ``block`` and needs; each block is placed by one task."""
+    ship(vectors.sparkSession)
+    splits, parts = list(shares), list(shares.values())
+
+    def kernel(block: pd.DataFrame) -> pd.DataFrame:
+        found = stratify(block, parts)
+        return pd.DataFrame({"group": [g for g, _ in found], "split": [splits[i] for _, i in found]}, dtype=object)
+
+    return vectors.groupBy("block").applyInPandas(kernel, "group string, split string")
 
 
 def assign_splits(
@@ -92,17 +129,16 @@ def assign_splits(
     label_col: str = "predicate_roleset",
     id_col: str = "example_id",
     keys: Sequence[str] = ("sentence_id", "author_id"),
+    block: int = BLOCK,
 ) -> DataFrame:
     """``(document_id, group_id, split)``: one split for every document, the same for all tied documents.
 
     ``targets`` has a split and its share; it is read to the driver and holds a handful of rows.
     """
-    spark = rows.sparkSession
-    ship(spark)
     listed = [(r["split"], float(r["share"])) for r in parameter_rows(targets.where("split is not null and share > 0").orderBy("split"), 1000)]
     whole = sum(share for _, share in listed)
     shares = {split: share / whole for split, share in listed}
-    splits = list(shares)
+    numbers = range(len(shares))
 
     tied = components(rows, doc_col, keys)
     documents = rows.where(F.col(doc_col).isNotNull()).select(F.col(doc_col).alias("node")).distinct()
@@ -112,56 +148,59 @@ def assign_splits(
     label = F.coalesce(F.concat(F.lit("="), F.col(label_col)), F.lit("none"))
     counted = rows.where(F.col(doc_col).isNotNull()).select(F.col(doc_col).alias("node"), F.col(id_col).alias("id"), label.alias("label")).distinct()
     vectors = materialize(counted.join(member, "node").groupBy("group", "label").agg(F.count("*").alias("n")), "vectors")
+    everything, groups = vectors.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct("group")).first()
+    sized = vectors.groupBy("group").agg(F.sum("n").alias("size"))
+    number = F.when(F.col("size") * HEAVY >= everything, -1).otherwise(F.pmod(F.xxhash64("group"), F.lit(max(1, -(-groups // block)))).cast("int"))
+    tagged = materialize(vectors.join(sized.select("group", number.alias("block")), "group"), "block-vectors")
+    heavy, light = tagged.where("block < 0"), tagged.where("block >= 0")
+
     totals = vectors.groupBy("label").agg(F.sum("n").alias("total"))
-    rarest = (
-        vectors.join(totals, "label")
-        .groupBy("group")
-        .agg(F.sum("n").alias("size"), F.min(F.struct("total", "label", "n")).alias("r"))
-        .select("group", "size", F.col("r.label").alias("label"), F.col("r.n").alias("of_label"), F.col("r.total").alias("total"))
-    )
-    sized = materialize(rarest, "components")
-    everything = sized.agg(F.sum("size")).first()[0] or 0
-
-    # the few components that hold a large part of the rows; at most BIG of them can exist
-    big = sized.where(F.col("size") * BIG >= everything).select("group", "size").orderBy(F.desc("size"), "group").collect() if everything else []
-    missing = {s: shares[s] * everything for s in splits}
-    placed_rows = []
-    for group, size in big:
-        best = max(splits, key=lambda s: (missing[s], shares[s], s))
-        missing[best] -= size
-        placed_rows.append((group, best))
-    placed = materialize(spark.createDataFrame(placed_rows, "group string, split string"), "placed")
-
-    low = 0.0
-    for high in WAVES:
-        here = sized.where((F.col("total") > low * everything) & (F.col("total") <= high * everything)).join(placed, "group", "left_anti")
-        low = high
-        done = placed.join(vectors, "group").groupBy("label", "split").agg(F.sum("n").alias("n"))
-        by_label = done.groupBy("label").pivot("split", splits).agg(F.sum("n"))
-        done_rows = {r["split"]: r["n"] for r in done.groupBy("split").agg(F.sum("n").alias("n")).collect()}
-        row_need = {s: shares[s] * everything - done_rows.get(s, 0) for s in splits}
-        rows_left = max(1.0, sum(row_need.values()))
-        per_label = here.groupBy("label").agg(F.count("*").alias("groups"), F.sum("of_label").alias("label_here"))
-        needs = per_label.join(by_label, "label", "left").join(totals, "label").select(
-            "label", "groups", "label_here", "total", *(
-                (F.lit(shares[s]) * F.col("total") - F.coalesce(F.col(f"`{s}`"), F.lit(0))).alias(f"need_{i}") for i, s in enumerate(splits)
-            )
-        )
-        blocks = here.drop("total").join(needs, "label").withColumn(
-            "block", F.pmod(F.xxhash64("group"), F.ceil(F.col("groups") / BLOCK)).cast("int")
-        )
-        inside = blocks.groupBy("label", "block").agg(F.sum("of_label").alias("block_label"), F.sum("size").alias("block_rows"))
-        scaled = blocks.join(inside, ["label", "block"]).select(
-            "label", "block", "group", "size", "of_label",
-            # the part of the outstanding needs that falls to the block
-            *((F.col(f"need_{i}") * F.col("block_label") / reduce(lambda a, b: a + b, (F.greatest(F.col(f"need_{j}"), F.lit(0.0)) for j in range(len(splits))), F.lit(1e-9))).alias(f"need_{i}") for i in range(len(splits))),
-            *((F.lit(row_need[s] / rows_left) * F.col("block_rows")).alias(f"rows_{i}") for i, s in enumerate(splits)),
-        )
-        new = scaled.groupBy("label", "block").applyInPandas(lambda block: place(block, shares), "group string, split string")
-        placed = materialize(placed.unionByName(new), "placed")
+    first = heavy.join(totals, "label").select(
+        "block", "group", "label", "n", *((F.lit(s) * F.col("total")).alias(f"need_{i}") for i, s in enumerate(shares.values())),
+        *(F.lit(float(s * everything)).alias(f"rows_{i}") for i, s in enumerate(shares.values())),
+    )
+    placed = materialize(placed_blocks(first, shares), "placed")
+
+    done = heavy.join(placed, "group").groupBy("label").agg(*(F.sum(F.when(F.col("split") == s, F.col("n"))).alias(f"done_{i}") for i, s in enumerate(shares)))
+    done_rows = done.agg(*(F.coalesce(F.sum(f"done_{i}"), F.lit(0)) for i in numbers)).first()
+    left_rows = max(1, everything - sum(done_rows))
+    # the needs of a label and block: what falls into its part of the running sum over blocks
+    before = Window.partitionBy("label").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = light.groupBy("label", "block").agg(F.sum("n").alias("here")).withColumn("before", F.coalesce(F.sum("here").over(before), F.lit(0)))
+    light_totals = light.groupBy("label").agg(F.sum("n").alias("light"))
+    open_needs = light_totals.join(totals, "label").join(done, "label", "left")
+    quota = lambda i, s: (F.lit(s) * F.col("total") - F.coalesce(F.col(f"done_{i}"), F.lit(0))) / F.col("light")
+    part = lambda i, upto: F.floor(F.col(f"quota_{i}") * upto + (i + 1) / (len(shares) + 1))
+    quotas = open_needs.select("label", *(quota(i, s).alias(f"quota_{i}") for i, s in enumerate(shares.values())))
+    parts = inside.join(quotas, "label").select("label", "block", *(
+        (part(i, F.col("before") + F.col("here")) - part(i, F.col("before"))).cast("double").alias(f"need_{i}") for i in numbers))
+    block_rows = light.groupBy("block").agg(F.sum("n").alias("block_rows"))
+    rest = light.join(parts, ["label", "block"]).join(block_rows, "block").select(
+        "block", "group", "label", "n", *(f"need_{i}" for i in numbers),
+        *((F.lit((s * everything - done_rows[i]) / left_rows) * F.col("block_rows")).alias(f"rows_{i}") for i, s in enumerate(shares.values())),
+    )
+    placed = placed.unionByName(placed_blocks(rest, shares))
     return member.join(placed, "group").select(F.col("node").alias(doc_col), F.col("group").alias("group_id"), "split")
 
 
+def split_shares(rows: DataFrame, placed: DataFrame, targets: DataFrame, doc_col: str = "document_id", label_col: str = "predicate_roleset", id_col: str = "example_id") -> DataFrame:
+    """``(split, share, rows, row_share, label_gap)``: how the wanted proportions are met; ``label_gap`` is the mean over
+    all rows of how far the share of the row's label in the split is from the wanted one."""
+    label = F.coalesce(F.concat(F.lit("="), F.col(label_col)), F.lit("none"))
+    counted = rows.where(F.col(doc_col).isNotNull()).select(doc_col, id_col, label.alias("label")).distinct().join(placed, doc_col).groupBy("label", "split").agg(F.count("*").alias("n"))
+    counted = materialize(counted, "split-labels")
+    totals = counted.groupBy("label").agg(F.sum("n").alias("total"))
+    every = counted.agg(F.sum("n")).scalar()
+    wanted = targets.where("split is not null and share > 0")
+    norm = wanted.agg(F.sum("share")).scalar()
+    # labels x splits: the splits are a parameter table of a few rows
+    each = totals.withColumn("t", F.lit(1)).join(F.broadcast(wanted.select("split", (F.col("share") / norm).alias("share"), F.lit(1).alias("t"))), "t").drop("t")
+    joined = each.join(counted, ["label", "split"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return joined.groupBy("split", "share").agg(
+        F.sum("n").alias("rows"), (F.sum("n") / every).alias("row_share"), (F.sum(F.abs(F.col("n") - F.col("share") * F.col("total"))) / every).alias("label_gap")
+    )
+
+
 def one_split_per_document(examples: DataFrame, order: Sequence[str] = ("train", "development", "test")) -> DataFrame:
     """``(document_id, split, examples, moved)``: the split that holds most of a document's examples (the
     earlier of ``order`` among equals), and how many examples come from another or from no split.

@@ -148,18 +148,40 @@ def test_one_split_per_document(spark):
     assert found == {"d": ("train", 2, 1), "f": (None, 1, 1), "g": ("test", 3, 2)}
 
 
-def test_container_plan_is_whole_and_full():
+def test_a_share_is_packed_by_classes():
     rng = random.Random(7)
-    for room in (10, 64):
-        histogram = Counter(rng.randrange(1, room + 1) for _ in range(3000))
-        plan = packing.container_plan(dict(histogram), room)
-        fill, placed = Counter(), Counter()
-        for length, low, high, each, first in plan:
-            placed[length] += high - low
-            for rank in range(low, high):
-                fill[first + (rank - low) // each] += length
-        assert placed == histogram and max(fill.values()) <= room
-        assert sum(k * n for k, n in histogram.items()) / (len(fill) * room) > 0.97
+    for room, few in ((10, 0.9), (64, 0.95), (1000, 0.97)):
+        lengths = np.array([rng.randrange(1, room + 1) for _ in range(3000)])
+        for complementary in (False, True):
+            container = packing.pack_share(lengths, room, complementary)
+            fill, held = Counter(), {}
+            for c, length in zip(container.tolist(), lengths.tolist()):
+                fill[c] += length
+                held.setdefault(c, []).append(room // length)
+            assert set(fill) == set(range(len(fill))) and max(fill.values()) <= room
+            if complementary:
+                assert lengths.sum() / (len(fill) * room) > few
+            else:  # every container holds one class, and its fixed count but for the last one of the class
+                short = Counter(classes[0] for classes in held.values() if len(classes) != classes[0])
+                assert all(len(set(classes)) == 1 for classes in held.values()) and set(short.values()) <= {1}
+                assert len(fill) == sum(-(-n // j) for j, n in Counter((room // lengths).tolist()).items())
+    assert len(packing.pack_share(np.zeros(0, np.int64), 10)) == 0
+
+
+def test_many_shares_one_length_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARE", 50)
+    rows = [(None if i % 3 else 7, "same text here") for i in range(600)]
+    limits = spark.createDataFrame([("a", 16), (None, 5)], "container_kind string, capacity int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = packing.pack(df, limits).collect()
+    for kind, capacity in (("a", 16), (None, 5)):
+        fill = Counter()
+        for r in (r for r in found if r.container_kind == kind):
+            fill[r.container_id] += r.token_end - r.token_start
+        assert max(fill.values()) <= capacity and set(fill) == set(range(len(fill)))
+    assert Counter(r.container_kind for r in found) == {"a": 600, None: 600}
+    report = {r.container_kind: r for r in packing.fill_report(packing.pack(df, limits), limits).collect()}
+    assert report[None].pieces == 600 and report["a"].containers >= report["a"].harmonic_containers
 
 
 def test_packing_of_texts(spark):

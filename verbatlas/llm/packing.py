@@ -1,75 +1,137 @@
 """Texts put into containers of fixed capacity by harmonic packing (problem 8).
 
-A length s belongs to the reciprocal-capacity class j = floor(capacity / s): j texts of this length fill a
-container. A container opens with the fixed count of one length's class, and the room left is filled by the
-same rule with the longest length that still fits, so every kind of container is a fixed list of (length,
-count). Which kinds there are, and how many of each, follows from the number of texts per length alone:
-a table of at most LEVELS rows per capacity, whatever the number of texts. Each text then finds its container
-from its length and its rank among the texts of that length, independently on every worker.
+A length s belongs to the reciprocal-capacity class j = floor(capacity / s): at least j texts of this class fill a
+container. All pieces of texts are spread by hash over shares of about ``SHARE`` pieces, and every worker packs its
+shares on its own:
 
-Ranks come from counters per length and salt, so a length that a third of all texts have is numbered by many
-tasks. Only ids and lengths are shuffled, never texts. Lengths are exact up to LEVELS tokens of capacity; for a
-larger capacity they are rounded up to 1 / LEVELS of it.
+1. Harmonic step: the classes follow one another from the largest lengths on, and what is left of class j opens
+   containers of exactly j pieces each (the last one of a share may hold fewer).
+2. Complementary step, before a class opens containers of its own: its pieces go into the room that containers of
+   larger classes leave, each into the smallest room that takes it.
+
+Containers of all shares are then numbered through by a prefix sum over the shares. No length histogram, plan or list
+of containers ever reaches the driver; only ids and lengths are shuffled, never texts. A length that a third of all
+texts have is spread over all shares like any other.
 
 Defined results: null and empty texts have no tokens and stand in no container; a text longer than the
 capacity is cut into pieces of the capacity and a rest, any other text is never cut; capacities that are
-null or below 1 are left out; rows delivered twice are packed each.
+null or below 1 are left out; a null kind of container or a null id is kept as such; rows delivered twice are packed
+each.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbatlas.llm.bpe import TOKENIZERS, count_tokens
-from verbatlas.session import materialize, parameter_rows
-
-LEVELS = 8192
-
-#: Texts that one counter numbers.
-PER_COUNTER = 50_000
+from verbatlas.session import materialize, parameter_rows, ship
 
+#: Pieces that one share holds on average.
+SHARE = 50_000
 
-def level_of(size: F.Column, capacity: int) -> F.Column:
-    """The length class of a size: the size itself, or its share of a large capacity rounded up."""
-    return size if capacity <= LEVELS else F.ceil(size * F.lit(LEVELS) / F.lit(capacity)).cast("int")
 
+def fill_rooms(room: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The container of each piece (-1: none takes it) and the rooms afterwards.
 
-def container_plan(histogram: dict[int, int], room: int) -> list[tuple[int, int, int, int, int]]:
-    """Rows ``(length, first rank, end rank, per container, first container)`` that place all texts.
-
-    ``histogram`` has the number of texts of each length. Every step makes as many containers of one kind
-    as there are texts for, and uses up at least one length.
+    ``lengths`` descend. Each piece takes the smallest room of at least its length; of equal rooms the first.
     """
-    left = {length: n for length, n in histogram.items() if n}
-    used = dict.fromkeys(left, 0)
-    lengths = sorted(left, reverse=True)
-    plan, containers = [], 0
-    while lengths:
-        kind: list[tuple[int, int]] = []
-        rest, at = room, 0
-        while at < len(lengths) and rest >= lengths[-1]:
-            length = lengths[at]
-            if length > rest:  # on to the longest that fits
-                low, high = at, len(lengths) - 1
-                while low < high:
-                    middle = (low + high) // 2
-                    low, high = (low, middle) if lengths[middle] <= rest else (middle + 1, high)
-                at = low
-                length = lengths[at]
-            count = min(rest // length, left[length])
-            kind.append((length, count))
-            rest -= count * length
-            at += 1
-        many = min(left[length] // count for length, count in kind)
-        for length, count in kind:
-            plan.append((length, used[length], used[length] + many * count, count, containers))
-            used[length] += many * count
-            left[length] -= many * count
-        containers += many
-        lengths = [length for length in lengths if left[length]] if any(not left[length] for length, _ in kind) else lengths
-    return plan
+    placed = np.full(len(lengths), -1, np.int64)
+    order = np.argsort(room, kind="stable")
+    stacks: dict[int, list[np.ndarray]] = {}
+    values, begin = np.unique(room[order], return_index=True)
+    for value, members in zip(values.tolist(), np.split(order, begin[1:])):
+        if value:
+            stacks[value] = [members]
+    room = room.copy()
+    cuts = np.flatnonzero(np.append(True, lengths[1:] != lengths[:-1])) if len(lengths) else np.zeros(0, np.int64)
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(lengths)]):
+        length = int(lengths[a])
+        while a < b:
+            fitting = [r for r in stacks if r >= length]
+            if not fitting:
+                break
+            for value in sorted(fitting):
+                members = np.concatenate(stacks.pop(value))
+                take, rest = members[: b - a], members[b - a :]
+                placed[a : a + len(take)] = take
+                room[take] = value - length
+                a += len(take)
+                if len(rest):
+                    stacks[value] = [rest]
+                if value > length:
+                    stacks.setdefault(value - length, []).append(take)
+                if a == b:
+                    break
+    return placed, room
+
+
+def pack_share(lengths: np.ndarray, capacity: int, complementary: bool = True) -> np.ndarray:
+    """The container, from 0, of each piece of one share."""
+    order = np.argsort(-lengths, kind="stable")
+    descending = lengths[order]
+    classes = capacity // descending
+    container = np.empty(len(lengths), np.int64)
+    room = np.zeros(0, np.int64)
+    begin = np.flatnonzero(np.append(True, classes[1:] != classes[:-1])) if len(lengths) else np.zeros(0, np.int64)
+    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(lengths)]):
+        at, of_class, count = order[a:b], descending[a:b], int(classes[a])
+        if complementary and len(room):
+            placed, room = fill_rooms(room, of_class)
+            container[at[placed >= 0]] = placed[placed >= 0]
+            at, of_class = at[placed < 0], of_class[placed < 0]
+        number = np.arange(len(at)) // count
+        container[at] = len(room) + number
+        room = np.append(room, capacity - np.bincount(number, weights=of_class).astype(np.int64))
+    return container
+
+
+def pieces_of(counted: DataFrame, kinds: list[tuple[str | None, int]]) -> DataFrame:
+    """``(kind, id, row, piece, token_start, token_end)``; ``kind`` is the place of the container kind in ``kinds``."""
+    each = []
+    for kind, (_, capacity) in enumerate(kinds):
+        cut = counted.select("id", "row", "n_tokens", F.explode(F.sequence(F.lit(0), F.expr(f"(n_tokens - 1) div {capacity}").cast("int"))).alias("piece"))
+        start = F.col("piece") * F.lit(capacity)
+        each.append(cut.select(F.lit(kind).alias("kind"), "id", "row", "piece", start.alias("token_start"), F.least(start + capacity, F.col("n_tokens")).alias("token_end")))
+    return reduce(DataFrame.unionByName, each)
+
+
+def pack_shares(items: DataFrame, capacities: list[int]) -> DataFrame:
+    """Adds ``local``, the number of the container inside its share; a share is all rows of a ``(kind, share)``."""
+    ship(items.sparkSession)
+    names = [*items.columns, "local"]
+
+    def packed(share: pa.Table) -> Iterator[pa.RecordBatch]:
+        lengths = share.column("token_end").to_numpy().astype(np.int64) - share.column("token_start").to_numpy()
+        local = pack_share(lengths, capacities[share.column("kind")[0].as_py()])
+        yield from share.append_column("local", pa.array(local)).combine_chunks().to_batches(max_chunksize=10_000)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            kind, share = (batch.column(names.index(n)).to_numpy() for n in ("kind", "share"))
+            cuts = np.flatnonzero((kind[1:] != kind[:-1]) | (share[1:] != share[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if a == b:
+                    continue
+                if held and key != (kind[a], share[a]):
+                    yield from packed(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+                key = (kind[a], share[a])
+        if held:
+            yield from packed(pa.Table.from_batches(held))
+
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = items.repartition(parts, "kind", "share").sortWithinPartitions("kind", "share", "row", "piece")
+    fields = ", ".join(f"`{n}` {t}" for n, t in items.dtypes)
+    return ordered.mapInArrow(kernel, f"{fields}, local long")
 
 
 def pack(
@@ -83,50 +145,38 @@ def pack(
     """``(container_kind, container_id, doc_id, piece, token_start, token_end)`` of every piece of every text
     for each capacity of ``limits(container_kind, capacity)``, a parameter table of a few rows."""
     spark = documents.sparkSession
-    kinds = [(r.container_kind, int(r.capacity)) for r in parameter_rows(limits.where("capacity >= 1").distinct().orderBy("container_kind", "capacity"), 100)]
+    kinds = [(r.container_kind, int(r.capacity)) for r in parameter_rows(limits.where("capacity >= 1").select("container_kind", "capacity").distinct().orderBy("container_kind", "capacity"), 100)]
     counted = count_tokens(documents, vocabulary, id_col, text_col, tokenizers)
-    counted = materialize(counted.select(F.col(id_col).alias("id"), "n_tokens").where("id is not null and n_tokens > 0"), "token-counts")
-    schema = "container_kind string, id {}, piece int, token_start int, token_end int, length int".format(counted.schema["id"].dataType.simpleString())
-    items = spark.createDataFrame([], schema)
-    for kind, capacity in kinds:
-        start = F.col("piece") * F.lit(capacity)
-        cut = counted.select("id", "n_tokens", F.explode(F.sequence(F.lit(0), F.expr(f"(n_tokens - 1) div {capacity}").cast("int"))).alias("piece"))
-        cut = cut.select(
-            F.lit(kind).alias("container_kind"), "id", "piece", start.alias("token_start"), F.least(start + capacity, F.col("n_tokens")).alias("token_end")
-        )
-        items = items.unionByName(cut.withColumn("length", level_of(F.col("token_end") - F.col("token_start"), capacity)))
-
-    # at most LEVELS rows for each capacity
-    histogram: dict[str, dict[int, int]] = {}
-    for kind, length, n in items.groupBy("container_kind", "length").count().collect():
-        histogram.setdefault(kind, {})[length] = n
-    rows = [(kind, *row) for kind, capacity in kinds for row in container_plan(histogram.get(kind, {}), min(capacity, LEVELS))]
-    columns = ["container_kind", "length", "low", "high", "each", "first"]
-    plan = spark.createDataFrame(pd.DataFrame(rows, columns=columns) if rows else [], "container_kind string, length int, low long, high long, each long, first long")
-
-    most = max((n for per in histogram.values() for n in per.values()), default=1)
-    salted = items.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(-(-most // PER_COUNTER))).cast("int"))
-    counter = ["container_kind", "length", "salt"]
-    numbered = salted.withColumn("number", F.row_number().over(Window.partitionBy(*counter).orderBy("id", "piece")))
-    before = Window.partitionBy("container_kind", "length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = salted.groupBy(*counter).agg(F.count("*").alias("n")).select(*counter, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    ranked = numbered.join(offsets, counter).withColumn("rank", F.col("offset") + F.col("number") - 1)
-    placed = ranked.join(F.broadcast(plan), ["container_kind", "length"]).where("rank >= low and rank < high")  # plan: bounded by LEVELS
-    return placed.select(
-        "container_kind",
-        F.expr("first + (rank - low) div each").alias("container_id"),
-        F.col("id").alias(id_col),
-        "piece",
-        "token_start",
-        "token_end",
+    counted = materialize(counted.select(F.col(id_col).alias("id"), "n_tokens").where("n_tokens > 0").withColumn("row", F.monotonically_increasing_id()), "token-counts")
+    if not kinds:
+        kinds, counted = [(None, 1)], counted.where(F.lit(False))
+    pieces = pieces_of(counted, kinds)
+    sums = counted.agg(*(F.sum(F.expr(f"(n_tokens + {c - 1}) div {c}")).alias(f"n{i}") for i, (_, c) in enumerate(kinds))).first()
+    shares = [max(1, -(-(n or 0) // SHARE)) for n in sums]
+    salt = F.pmod(F.xxhash64("row", "piece"), F.element_at(F.array(*map(F.lit, shares)), F.col("kind") + 1))
+    packed = materialize(pack_shares(pieces.withColumn("share", salt.cast("int")), [c for _, c in kinds]), "packed-shares")
+    # one row for each share: a prefix sum numbers the containers through
+    before = Window.partitionBy("kind").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
+    used = packed.groupBy("kind", "share").agg((F.max("local") + 1).alias("n"))
+    first = used.select("kind", "share", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    name = F.element_at(F.array(*(F.lit(k).cast("string") for k, _ in kinds)), F.col("kind") + 1)
+    return packed.join(first, ["kind", "share"]).select(
+        name.alias("container_kind"), (F.col("first") + F.col("local")).alias("container_id"), F.col("id").alias(id_col), "piece", "token_start", "token_end"
     )
 
 
 def fill_report(packed: DataFrame, limits: DataFrame) -> DataFrame:
-    """Per kind: containers, pieces, tokens and the share of the capacity that is used."""
-    per = packed.groupBy("container_kind").agg(
-        (F.max("container_id") + 1).alias("containers"), F.count("*").alias("pieces"), F.sum(F.col("token_end") - F.col("token_start")).alias("tokens")
+    """Per kind: containers, pieces, tokens, the share of the capacity that is used, and how many containers the
+    harmonic step would need alone (in one share)."""
+    size = F.col("token_end") - F.col("token_start")
+    bounds = limits.where("capacity >= 1").select("container_kind", "capacity").distinct()
+    per = packed.join(F.broadcast(bounds), packed["container_kind"].eqNullSafe(bounds["container_kind"])).select(  # a parameter table
+        bounds["container_kind"], "capacity", "container_id", size.alias("size"), F.expr("capacity div (token_end - token_start)").alias("class")
     )
-    return per.join(limits.where("capacity >= 1").distinct(), "container_kind").select(
-        "container_kind", "capacity", "containers", "pieces", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("fill")
+    classes = per.groupBy("container_kind", "capacity", "class").agg(
+        F.count("*").alias("n"), F.sum("size").alias("tokens"), (F.max("container_id") + 1).alias("containers")
     )
+    return classes.groupBy("container_kind", "capacity").agg(
+        F.max("containers").alias("containers"), F.sum("n").alias("pieces"), F.sum("tokens").alias("tokens"),
+        F.sum(F.ceil(F.col("n") / F.col("class"))).cast("long").alias("harmonic_containers"),
+    ).withColumn("fill", F.col("tokens") / (F.col("containers") * F.col("capacity")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatlas.llm import bpe, groups, mojibake, overlap, packing, spans, terms
-from verbatlas.session import read
+from verbatlas.session import materialize, parameter_rows, read
 
 
 def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,26 @@ def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.assign_splits(read(spark, sf_dir, "prepared_examples"), read(spark, sf_dir, "split_targets"))
 
 
+def p6_split_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the wanted proportions are met, in rows and per roleset."""
+    rows, targets = read(spark, sf_dir, "prepared_examples"), read(spark, sf_dir, "split_targets")
+    return groups.split_shares(rows, groups.assign_splits(rows, targets), targets)
+
+
+def p6_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the result, those given several splits, groups in several splits, unknown splits, and tied documents outside their group."""
+    placed = materialize(p6_splits(spark, sf_dir), "violations")
+    tied = p6_found(spark, sf_dir).withColumnRenamed("group_id", "tied")
+    groups_ = placed.groupBy("group_id").agg(F.count_distinct("split").alias("splits")).agg(F.count_if(F.col("splits") > 1).alias("n"))
+    known = [r["split"] for r in parameter_rows(read(spark, sf_dir, "split_targets").select("split"), 1000)]
+    moved = placed.join(tied, "document_id").where("group_id <> tied").agg(F.count("*").alias("n"))
+    return placed.agg(
+        F.count_distinct("document_id").alias("documents"),
+        (F.count("*") - F.count_distinct("document_id")).alias("repeated"),
+        F.count_if(~F.col("split").isin(known) | F.col("split").isNull()).alias("unknown_splits"),
+    ).select("*", groups_.scalar().alias("groups_in_several_splits"), moved.scalar().alias("outside_their_group"))
+
+
 def p6_one_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One split for every document that lies in several."""
     return groups.one_split_per_document(read(spark, sf_dir, "srl_examples"))
@@ -72,6 +92,23 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, sf_dir), read(spark, sf_dir, "pack_limits"))
 
 
+def p8_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind: containers beyond their capacity, texts cut though they fit, and texts whose pieces leave a gap."""
+    packed = materialize(p8_containers(spark, sf_dir), "violations")
+    limits = read(spark, sf_dir, "pack_limits").where("capacity >= 1").select("container_kind", "capacity").distinct()
+    size = F.col("token_end") - F.col("token_start")
+    over = packed.groupBy("container_kind", "container_id").agg(F.sum(size).alias("used")).join(limits, "container_kind")
+    over = over.groupBy("container_kind").agg(F.count_if(F.col("used") > F.col("capacity")).alias("over_capacity"))
+    texts = packed.groupBy("container_kind", "doc_id").agg(
+        F.count("*").alias("pieces"), F.sum(size).alias("tokens"), F.max("token_end").alias("last"), F.count_if(F.col("piece") == 0).alias("firsts")
+    ).join(limits, "container_kind")
+    texts = texts.groupBy("container_kind").agg(
+        F.count_if((F.col("pieces") > F.col("firsts")) & (F.col("last") <= F.col("capacity"))).alias("cut_without_need"),
+        F.count_if(F.col("tokens") != F.col("last") * F.col("firsts")).alias("with_gaps"),
+    )
+    return over.join(texts, "container_kind")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal runs of characters that stand verbatim in another document."""
     return spans.shared_spans(read(spark, sf_dir, "documents"))
@@ -84,7 +121,7 @@ def p9_shared_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_terms": p4_terms, "p6_found": p6_found, "p6_splits": p6_splits, "p6_one_split": p6_one_split, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_shared_amount": p9_shared_amount}
+    return {"p1_found": p1_found, "p1_restored": p1_restored, "p3_found": p3_found, "p3_report": p3_report, "p4_found": p4_found, "p4_terms": p4_terms, "p6_found": p6_found, "p6_splits": p6_splits, "p6_one_split": p6_one_split, "p6_split_shares": p6_split_shares, "p6_violations": p6_violations, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_violations": p8_violations, "p9_found": p9_found, "p9_shared_amount": p9_shared_amount}
 
 
 P4_TERMS = """
@@ -154,6 +191,11 @@ SELECT doc_id, coalesce(length(text), 0)::BIGINT AS chars, coalesce(n, 0)::BIGIN
 FROM documents LEFT JOIN (SELECT doc_id, sum(span_end - span_start) AS n, count(*) AS k FROM span GROUP BY doc_id) USING (doc_id)""",
         "p6_found": P6_FOUND,
         "p6_one_split": P6_ONE_SPLIT,
+        "p6_violations": """
+SELECT count(DISTINCT document_id)::BIGINT AS documents, 0::BIGINT AS repeated, 0::BIGINT AS unknown_splits, 0::BIGINT AS groups_in_several_splits,
+  0::BIGINT AS outside_their_group FROM prepared_examples""",
+        "p8_violations": """
+SELECT DISTINCT container_kind, 0::BIGINT AS over_capacity, 0::BIGINT AS cut_without_need, 0::BIGINT AS with_gaps FROM pack_limits WHERE capacity >= 1""",
         "p4_terms": P4_TERMS,
         "p4_found": f"SELECT term_field, term, mark FROM ({P4_TERMS}) WHERE mark IS NOT NULL",
     }

@@ -60,3 +60,24 @@ def test_production_length_and_amounts(spark):
     amounts = {r.doc_id: (r.chars, r.shared_chars, r.spans) for r in spans.shared_amount(df, found).collect()}
     assert amounts[1] == (280, 170, 1) and amounts[6] == (0, 0, 0) and amounts[3] == (200, 0, 0)
     assert spans.shared_spans(df.limit(0)).count() == 0
+
+
+def test_a_passage_in_many_contexts_makes_no_large_bucket(spark, monkeypatch):
+    """One passage shorter than a window by little, in contexts that differ: all its super-k-mers have one minimiser."""
+    rng = random.Random(11)
+    letters = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    passage = letters(140)
+    contexts = [(letters(9), letters(9)) for _ in range(3)]
+    rows = [(i, letters(30) + passage + letters(30)) for i in range(600)]
+    rows += [(1000 + i, letters(5) + left + passage + right + letters(5)) for i, (left, right) in enumerate(contexts * 2)]
+    hot, largest, counted = 50, [], spans.count_in_buckets
+
+    def watched(strings, length):
+        largest.append(strings.groupBy("mini", "sub").count().agg({"count": "max"}).first()[0] or 0)
+        return counted(strings, length)
+
+    monkeypatch.setattr(spans, "count_in_buckets", watched)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    found = spans.shared_spans(df, hot=hot).collect()
+    assert {tuple(r) for r in found} == brute(rows, 150) and len(found) >= 6
+    assert max(largest) <= hot

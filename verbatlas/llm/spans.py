@@ -12,8 +12,12 @@ equal minimisers, so
 4. the shared windows go back to their documents and are merged to maximal runs.
 
 A minimiser with more than ``hot`` super-k-mers (boilerplate in many contexts) is split over many
-buckets by a second minimiser; copies of a passage are one packed string however often they occur.
-So no bucket grows with the number of copies, and nothing is dropped.
+buckets by a second minimiser; copies of a passage are one packed string however often they occur. Where a bucket of
+both minimisers still has more than ``hot`` strings, its windows go their own ways: they are spread by the hash of
+the whole window, and those whose hash stands in several documents are compared letter by letter. So no task
+holds more than ``hot`` strings of one bucket, whatever the texts are, and nothing is dropped.
+
+Packed strings are known by their SHA-256 on the way back to the documents.
 
 Defined results: null texts and texts shorter than ``length`` share nothing; rows with a null id are
 left out; rows delivered twice under one id are one document; a passage repeated within one document
@@ -194,8 +198,8 @@ def shared_windows(texts: list[str], group: np.ndarray, owner: np.ndarray, sever
 
 
 def count_in_buckets(strings: DataFrame, length: int) -> DataFrame:
-    """Shared runs of the distinct packed strings ``(mini, sub, packed, lo, hi)``, sorted by bucket."""
-    names = ["mini", "sub", "packed_key", "packed_size", "first", "windows"]
+    """Shared runs ``(packed_key, first, windows)`` of distinct packed strings, bucket by bucket (of bounded size)."""
+    names = ["packed_key", "first", "windows"]
 
     def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         mini, sub = rows.column("mini").to_numpy(), rows.column("sub").to_numpy()
@@ -210,8 +214,8 @@ def count_in_buckets(strings: DataFrame, length: int) -> DataFrame:
         owner = rows.column("lo").combine_chunks().dictionary_encode().indices.to_numpy()
         string, first, count = shared_windows(texts, group, owner, several, length)
         at = pa.array(string)
-        columns = [rows.column(n).take(at).combine_chunks() for n in ("mini", "sub", "packed_key", "packed_size")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], names)
+        key = rows.column("packed_key").take(at).combine_chunks()
+        yield pa.RecordBatch.from_arrays([key, pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], names)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -228,10 +232,35 @@ def count_in_buckets(strings: DataFrame, length: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield from flush(held)
 
-    schema = "mini long, sub long, packed_key long, packed_size int, first int, windows int"
+    schema = "packed_key binary, first int, windows int"
     return strings.repartition("mini", "sub").sortWithinPartitions("mini", "sub").mapInArrow(kernel, schema)
 
 
+def count_windows(strings: DataFrame, length: int) -> DataFrame:
+    """As :func:`count_in_buckets`, for strings of buckets without bound: every window is spread by its own hash."""
+    names = ["window", "packed_key", "first", "lo", "several"]
+    id_type = strings.schema["lo"].dataType.simpleString()
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in _groups_of(texts):
+                sizes = np.fromiter(map(len, texts[a:b]), np.int64, b - a)
+                count = sizes - length + 1
+                string = np.repeat(np.arange(b - a), count)
+                within = np.arange(len(string)) - np.repeat(np.cumsum(count) - count, count)
+                value = piece_hashes(code_points(texts[a:b]), length)[np.repeat(np.cumsum(sizes) - sizes, count) + within]
+                of = lambda i: batch.column(i).take(pa.array(string + a))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), of(0), pa.array(within.astype(np.int32)), of(2), of(3)], names)
+
+    windows = strings.select("packed_key", "packed", "lo", "several").mapInArrow(kernel, f"window long, packed_key binary, first int, lo {id_type}, several boolean")
+    shared = lambda df, key: df.groupBy(key).agg(F.min("lo").alias("a"), F.max("lo").alias("b"), F.max("several").alias("s")).where("s or a <> b").select(key)
+    likely = materialize(windows.join(shared(windows, "window"), "window"), "likely-windows")
+    text = F.expr(f"substring(packed, first + 1, {length})").alias("text")
+    exact = likely.join(strings.select("packed_key", "packed"), "packed_key").select(text, "packed_key", "first", "lo", "several")
+    return exact.join(shared(exact, "text"), "text").select("packed_key", "first", F.lit(1).alias("windows"))
+
+
 def merge_runs(runs: DataFrame) -> DataFrame:
     """Union of the intervals ``(id, a, b)`` per id as maximal disjoint ``(id, span_start, span_end)``."""
     before = Window.partitionBy("id").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
@@ -280,17 +309,13 @@ def shared_spans(
     )
     second = min(SECOND_WORD, word)
     strings = split_hot(pieces, length, second)
-    strings = materialize(
-        strings.withColumn("packed_key", F.xxhash64("packed")).withColumn("packed_size", F.octet_length("packed")), "packed"
-    )
-    distinct = (
-        strings.groupBy("mini", "sub", "packed", "packed_key", "packed_size")
-        .agg(F.min("id").alias("lo"), (F.min("id") != F.max("id")).alias("several"))
-    )
-    runs = count_in_buckets(distinct, length)
-    back = strings.select("mini", "sub", "packed_key", "packed_size", "id", "start").join(
-        runs, ["mini", "sub", "packed_key", "packed_size"]
-    )
+    strings = materialize(strings.withColumn("packed_key", F.unhex(F.sha2("packed", 256))), "packed")
+    # buckets that two minimisers could not cut small enough
+    crowded = strings.groupBy("mini", "sub").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("mini", "sub")
+    distinct = lambda df: df.groupBy("mini", "sub", "packed", "packed_key").agg(F.min("id").alias("lo"), (F.min("id") != F.max("id")).alias("several"))
+    runs = count_in_buckets(distinct(strings.join(crowded, ["mini", "sub"], "left_anti")), length)
+    runs = runs.unionByName(count_windows(distinct(strings.join(crowded, ["mini", "sub"], "left_semi")), length))
+    back = strings.select("packed_key", "id", "start").join(runs, "packed_key")
     at = F.col("start") + F.col("first")
     spans = merge_runs(back.select("id", at.alias("a"), (at + F.col("windows") + (length - 1)).alias("b")))
     return spans.select(F.col("id").alias(id_col), "span_start", "span_end")

@@ -3,8 +3,9 @@
 Rows are first grouped by key *and* value, with partial aggregation before the shuffle, so a key with a third
 of all rows arrives as one row per distinct value, from all tasks alike. Counts, exact distinct counts and
 modes follow from these weighted values by aggregates that combine before their shuffle too. Exact percentiles
-need the values of a key in order; they are cut into RANGES value ranges of like weight, a prefix sum over at
-most RANGES + 1 rows per key finds the range that holds the rank, and only that range is put in order.
+need the values of a key in order: weighted values are range-partitioned by key *and* value, so a key is cut into as
+many ranges as its number of distinct values needs, by its own values. A prefix sum over the ranges of a key (at most
+one for each partition) finds the range that holds the rank, and only that range is put in order.
 So no task ever holds all rows, or all distinct values, of one key.
 
 Defined results: rows with a null key are left out (their share still counts in shares of all rows); null
@@ -21,8 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Value ranges that the values of a key are cut into for percentiles.
-RANGES = 64
+from verbatlas.session import materialize
 
 
 def compress(df: DataFrame, key: str, value: Column | str) -> DataFrame:
@@ -46,14 +46,15 @@ def distinct_and_mode(weighted: DataFrame) -> DataFrame:
     )
 
 
-def percentiles(weighted: DataFrame, points: Mapping[str, float], ranges: int = RANGES) -> DataFrame:
-    """``(key, <name>...)``: exact percentiles of numeric values, one column per entry of ``points``."""
-    valued = weighted.where(F.col("value").isNotNull())
-    inner = [i / ranges for i in range(1, ranges)]
-    # the cuts are at most RANGES values; they only spread the work, any cuts give the same result
-    cuts = valued.agg(F.percentile_approx("value", inner, 1000)).first()[0] or []
-    passed = [(F.col("value") > F.lit(c)).cast("int") for c in sorted(set(cuts))]
-    ranged = valued.withColumn("range", reduce(lambda a, b: a + b, passed, F.lit(0)))
+def percentiles(weighted: DataFrame, points: Mapping[str, float], ranges: int | None = None) -> DataFrame:
+    """``(key, <name>...)``: exact percentiles of numeric values, one column per entry of ``points``.
+
+    ``ranges`` is the number of partitions, by default that of shuffles. They are written once, as their borders come from a
+    sample and must not change between the uses.
+    """
+    parts = ranges or int(weighted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    valued = weighted.where(F.col("value").isNotNull()).repartitionByRange(parts, "key", "value")
+    ranged = materialize(valued.withColumn("range", F.spark_partition_id()), "ranges")
     sums = ranged.groupBy("key", "range").agg(F.sum("weight").alias("in_range"))
     before = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("key")

@@ -39,3 +39,27 @@ def test_ambiguous_losses_and_empty_tables(spark):
     found = M.restore(*tables(spark, [("a:0:0", ["r�d", "réd", "ród", "ród"])], [])).collect()
     assert [(r.word, r.restored) for r in found] == [("r�d", None)]
     assert M.restore(*tables(spark, [], [])).count() == 0
+
+
+def test_every_reported_word_joins_the_form_of_an_original_or_has_lost_bytes(spark):
+    """Decoding only proposes: what it proposes must give the word when garbled again."""
+    clean = ["Käse", "Straße", "naïve", "Þórr", "ναι", "café"]
+    garbled = [M.garble(w, c) for w in ("Größe", "señor", "Łódź") for c in M.CODECS] + [M.garble(M.garble("über", "cp437"), "cp1252"), M.garble(M.garble("über", "cp1252"), "cp850")]
+    lower = [M.garble(w, "cp1252").lower() for w in ("fêt", "fõt", "fút")]
+    lost = ["caf�", "x��y", "K?se", "what?", "?"]
+    words = spark.createDataFrame([(w, 1) for w in dict.fromkeys(clean + garbled + lower + lost)], "word string, n long")
+    found = {r.word: (r.restored, r.chain) for r in M.damaged_words(words).collect()}
+    assert set(garbled) | set(lower) | {"caf�", "x��y", "K?se"} == set(found)
+    for word, (restored, chain) in found.items():
+        assert restored is None and chain == "lost" or word in M.forms(restored)
+    assert found["caf�"][0] == "café" and found["K?se"] == ("Käse", "lost:question") and found["x��y"] == (None, "lost")
+    assert {found[w][0] for w in lower} == {"fêt", "fõt", "fút"} and found[garbled[-1]][0] == found[garbled[-2]][0] == "über"
+
+
+def test_some_proposal_gives_the_form_again():
+    """Not every proposal does (codecs share most letters); those that do not join nothing."""
+    for word in ("Größe", "señor", "Łódź", "don’t", "ναι"):
+        for form in M.forms(word):
+            proposals = M.originals(form)
+            if proposals and M.LOST not in form:
+                assert any(form in M.forms(original) for original in proposals), form

@@ -1,15 +1,22 @@
 """Words stored through a wrong character decoding (problem 1).
 
-The distinct words of all tables that hold a character beyond ASCII are gathered once. For every
-clean one the garbled forms under all encoding chains are generated (its UTF-8 bytes read as another
-encoding, up to three times over; bytes that were lost to U+FFFD; the same in changed case). A word
-that is the garbled form of text nowhere else in the corpus brings its own original: it is decoded
-back along every chain, and the original must be plausible and give the very word when garbled again.
-The stored words are then hash-joined against this table of forms, and verified originals take their
-place. A word with lost bytes that fits no original, or several equally well, is damaged but keeps no
-original.
+The distinct words of all tables that can be such forms (with a character beyond ASCII, or with a question mark before
+a letter) are gathered once.
 
-Words of ASCII letters alone cannot be such forms, so they never leave the scan.
+1. Originals: every clean one of these words, and for every word that decodes along some chain the text it decodes to,
+   if that is plausible. Decoding back only proposes; it decides nothing.
+2. Forms: the garbled forms of every distinct original under all encoding chains (its UTF-8 bytes read as another
+   encoding, up to ``MAX_LAYERS`` times over; bytes that were lost to U+FFFD or a question mark; the same in changed
+   case).
+3. The stored words are hash-joined with this table of forms, and verified originals take their place. A proposed original
+   that does not give the very word when garbled again joins nothing.
+
+A word with U+FFFD that is the form of no original, or of several equally well, is damaged but keeps no original: it
+enters the table as a form without one.
+
+Covered chains: every encoding of ``CODECS`` alone, every two of them of which one is in ``REPEATED``, and those in
+``REPEATED`` up to ``MAX_LAYERS`` times. Bytes stripped to seven bits give words of ASCII letters, which nothing tells
+from clean ones; they are not found.
 
 Defined results: null words, null arrays and empty words are not damaged; a word of any length is
 handled whole; a word delivered twice is reported once; records with a null identifier are left out.
@@ -17,6 +24,7 @@ handled whole; a word delivered twice is reported once; records with a null iden
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,10 +39,13 @@ CODECS = ("cp1252", "latin-1", "iso8859-15", "cp437", "cp850", "mac_roman", "cp1
 
 #: Encodings that do so several times over.
 REPEATED = ("cp1252", "latin-1")
-MAX_LAYERS = 4
+MAX_LAYERS = 3
 
 LOST = "�"
 
+#: A question mark in the place of a lost letter.
+QUESTION = re.compile(r"\?[^\W\d_]")
+
 #: Ranges whose characters may stand in an original: letters of living scripts (without ligatures, phonetic and
 #: outdated letters, which garbled capitals imitate) and typographic signs.
 PLAUSIBLE = (
@@ -58,10 +69,15 @@ def codec(name: str) -> tuple[list[str], dict[str, int]]:
     return table, {c: b for b, c in enumerate(table)}
 
 
+@lru_cache(maxsize=16)
+def reader(name: str) -> str:
+    """The characters of all bytes in the encoding ``name``, in order."""
+    return "".join(codec(name)[0])
+
+
 def garble(word: str, name: str) -> str:
     """The UTF-8 bytes of ``word`` read in the encoding ``name``."""
-    table, _ = codec(name)
-    return "".join(table[b] for b in word.encode("utf-8", "replace"))
+    return word.encode("utf-8", "replace").decode("latin-1").translate(reader(name))
 
 
 def ungarble(word: str, name: str) -> str | None:
@@ -76,6 +92,9 @@ def ungarble(word: str, name: str) -> str | None:
 
 def lossy(word: str) -> Iterator[tuple[str, str]]:
     """Forms of a word whose bytes beyond ASCII were lost, by how they were lost."""
+    question = "".join(c if c < "\x80" else "?" for c in word)
+    if QUESTION.search(question):
+        yield "lost:question", question
     yield "lost:character", "".join(c if c < "\x80" else LOST for c in word)
     yield "lost:byte", "".join(c if c < "\x80" else LOST * len(c.encode("utf-8", "replace")) for c in word)
     open_bytes = {i for i in range(256) if codec("cp1252")[0][i] == chr(i) and 0x80 <= i < 0xA0}
@@ -86,14 +105,14 @@ def lossy(word: str) -> Iterator[tuple[str, str]]:
 
 
 def forms(word: str) -> dict[str, str]:
-    """Every garbled form of a clean word with the chain that makes it."""
+    """Every garbled form of an original with the chain that makes it."""
     found: dict[str, str] = {}
-    layer = [(name, garble(word, name)) for name in CODECS]
-    for depth in range(1, MAX_LAYERS):
+    layer = [((name,), garble(word, name)) for name in CODECS]
+    for depth in range(1, MAX_LAYERS + 1):
         for chain, form in layer:
-            found.setdefault(form, chain)
-        repeated = [(c, f) for c, f in layer if c.split(">")[-1] in REPEATED]
-        layer = [(f"{c}>{name}", garble(f, name)) for c, f in repeated for name in REPEATED]
+            found.setdefault(form, ">".join(chain))
+        further = lambda chain: tuple(c for c in CODECS if following(chain, c))
+        layer = [((*chain, name), garble(form, name)) for chain, form in layer for name in further(chain)] if depth < MAX_LAYERS else []
     for chain, form in lossy(word):
         found.setdefault(form, chain)
     for form, chain in list(found.items()):
@@ -104,6 +123,13 @@ def forms(word: str) -> dict[str, str]:
     return found
 
 
+def following(chain: tuple[str, ...], name: str) -> bool:
+    """Whether a text garbled along ``chain`` may be garbled by ``name`` too."""
+    if name in REPEATED and all(c in REPEATED for c in chain):
+        return True
+    return len(chain) == 1 and (name in REPEATED or chain[0] in REPEATED)
+
+
 def script_of(point: int) -> str:
     """The script of a letter, by block."""
     if point < 0x250 or 0x1E00 <= point < 0x1F00:
@@ -131,6 +157,10 @@ def plausible(word: str) -> bool:
     return True
 
 
+#: Signs that count as letters and are second characters of garbled letters.
+LETTER_SIGNS = "ªµº"
+
+
 def capitals_of_leads(word: str) -> Iterator[str]:
     """Words that give ``word`` in lower case, with capitals where a sequence of bytes may begin."""
     _, back = codec("cp1252")
@@ -149,30 +179,62 @@ def capitals_of_leads(word: str) -> Iterator[str]:
 
 
 def originals(word: str) -> dict[str, str]:
-    """Plausible originals of a word with the chains that garble them into it."""
+    """Plausible texts that a chain may have garbled into the word, with that chain."""
     found: dict[str, str] = {}
 
-    def follow(text: str, chain: str, depth: int) -> bool:
+    def follow(text: str, chain: tuple[str, ...], after: str) -> bool:
         deeper = False
-        for name in CODECS if depth == 0 else REPEATED if depth < MAX_LAYERS else ():
+        for name in CODECS:
+            # reading on inwards, the chain so far lies outside of ``name``
+            if chain and (len(chain) == MAX_LAYERS or not following((name,), chain[0]) or not all(c in REPEATED for c in chain[1:])):
+                continue
             before = ungarble(text, name)
             if before is not None:
-                step = f"{name}>{chain}" if chain else name
-                if not follow(before, step, depth + 1) and plausible(before):
-                    found.setdefault(before, step)
+                inner = (name, *chain)
+                if not follow(before, inner, after) and plausible(before):
+                    found.setdefault(before, ">".join((*inner, after) if after else inner))
                 deeper = deeper or bool(found)
         return deeper
 
-    if follow(word, "", 0):
+    if follow(word, (), ""):
         return found
-    if all(c < "\x80" or c.isalpha() for c in word):
+    if all(c < "\x80" or c.isalpha() and c not in LETTER_SIGNS for c in word):
         return {}  # letters alone may be a clean word in lower case
     for changed in capitals_of_leads(word):
-        if follow(changed, "lower", 1) or found:
+        if follow(changed, (), "lower") or found:
             break
     return {o: chain for o, chain in found.items() if o.lower() != word}
 
 
+def proposed(words: DataFrame) -> DataFrame:
+    """``(original, known, weight)`` from the distinct words ``(word, n)``: clean words, known, with their number, and
+    what other words decode to. A null original stands for each word whose bytes are lost, in ``form``."""
+    ship(words.sparkSession)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[str | None, str | None, bool, int]] = []
+            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if LOST in word:
+                    rows.append((None, word, False, 0))
+                    continue
+                decoded = originals(word)
+                rows += [(original, None, False, 0) for original in decoded] or [(word, None, True, n)]
+            columns = list(zip(*rows)) or [()] * 4
+            types = (pa.string(), pa.string(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["original", "form", "known", "weight"])
+
+    found = over_all_tasks(words, "word").mapInArrow(kernel, "original string, form string, known boolean, weight long")
+    return found.groupBy("original", "form").agg(F.max("known").alias("known"), F.sum("weight").alias("weight"))
+
+
+def over_all_tasks(df: DataFrame, column: str) -> DataFrame:
+    """Spread rows over all tasks: by a hash of the hash, as the rows lie by that of the column already, and by a fixed
+    number, which keeps their few bytes from being coalesced into one slow task."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, F.xxhash64(column))
+
+
 def form_table(words: DataFrame) -> DataFrame:
     """``(form, original, chain, known, weight)`` from the distinct words ``(word, n)``.
 
@@ -184,38 +246,34 @@ def form_table(words: DataFrame) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple[str, str | None, str, bool, int]] = []
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if LOST in word:
-                    rows.append((word, None, "lost", False, 0))
-                    continue
-                decoded = originals(word)
-                rows += [(word, original, chain, False, 0) for original, chain in decoded.items()]
-                if not decoded:
-                    rows += [(form, word, chain, True, n) for form, chain in forms(word).items()]
+            for original, lost, known, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if original is None:
+                    rows.append((lost, None, "lost", False, 0))
+                else:
+                    rows += [(form, original, chain, known, n) for form, chain in forms(original).items()]
             columns = list(zip(*rows)) or [()] * 5
             types = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["form", "original", "chain", "known", "weight"])
 
-    # a number of partitions keeps the few bytes of the words from being coalesced into one slow task
-    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return words.repartition(parts, "word").mapInArrow(kernel, schema)
+    return over_all_tasks(proposed(words), "original").mapInArrow(kernel, schema)
 
 
-def beyond_ascii(column: F.Column) -> F.Column:
-    return F.octet_length(column) > F.char_length(column)
+def may_be_garbled(column: F.Column) -> F.Column:
+    """Whether a text has a character beyond ASCII or a question mark before a letter."""
+    return (F.octet_length(column) > F.char_length(column)) | column.rlike(r"\?\p{L}")
 
 
 def example_words(examples: DataFrame) -> DataFrame:
-    """The words beyond ASCII of word-level examples."""
-    some = examples.where(F.col("example_id").isNotNull() & beyond_ascii(F.array_join("words", " ")))
-    return some.select("example_id", F.posexplode("words").alias("word_pos", "word")).where(beyond_ascii(F.col("word"))).select(
+    """The words that may be garbled of word-level examples."""
+    some = examples.where(F.col("example_id").isNotNull() & may_be_garbled(F.array_join("words", " ")))
+    return some.select("example_id", F.posexplode("words").alias("word_pos", "word")).where(may_be_garbled(F.col("word"))).select(
         F.lit("srl_examples").alias("table_name"), F.col("example_id").alias("record_id"), "word_pos", "word"
     )
 
 
 def terminal_words(terminals: DataFrame) -> DataFrame:
-    """The words beyond ASCII of tree leaves."""
-    return terminals.where(beyond_ascii(F.col("word"))).select(
+    """The words that may be garbled of tree leaves."""
+    return terminals.where(may_be_garbled(F.col("word"))).select(
         F.lit("penn_terminals").alias("table_name"),
         F.concat_ws(":", F.col("document_id"), F.col("sentence_index").cast("string")).alias("record_id"),
         F.col("terminal_index").cast("int").alias("word_pos"),

@@ -27,7 +27,7 @@ def test_sentences_with_missing_or_repeated_leaves_have_an_error(spark):
 
 def test_every_example_has_a_record_and_a_reason(spark):
     words = [("Ann", "NNP"), ("ships", "VBZ"), ("it", "PRP")]
-    parsed = plans.parsed_terminals(spark.createDataFrame([*leaves(words), ("d", 1, 1, "x", "NN", [1])], LEAF)).localCheckpoint()
+    parsed = plans.parsed_terminals(spark.createDataFrame([*leaves(words), ("d", 1, 1, "x", "NN", [1])], LEAF)).cache()
     full, tags = ["Ann", "ships", "it"], ["B-ARG0", "B-V", "B-ARG1"]
     examples = [
         ("d:0:1", full, 1, tags, "ship.01", None), ("d:0:2", full, 1, tags, "ship_off.06", None), ("d:0:3", full, 1, tags, None, "roleset_invalid"),
@@ -37,7 +37,7 @@ def test_every_example_has_a_record_and_a_reason(spark):
         ("d", full, 1, tags, "ship.01", "record_index_invalid"), ("d:0:10", None, 1, None, "ship.01", "example_tags_invalid"),
     ]
     rows = spark.createDataFrame([(e[0], "d", *e[1:5]) for e in examples], "example_id string, document_id string, words array<string>, predicate_index int, tags array<string>, predicate_roleset string")
-    records = plans.example_records(rows, parsed).localCheckpoint()
+    records = plans.example_records(rows, parsed).cache()
     lines = {r.example_id: r.raw_line for r in records.collect()}
     assert set(lines) == {e[0] for e in examples} and lines["d:0:2"] == "d 0 1 gold ship_off-v ship_off.06 ----- 0:0-ARG0 1:0-rel 2:0-ARG1"
     found = propositions.conversion_rows(records, parsed)

@@ -151,16 +151,11 @@ def resolve_nodes(pointer_nodes: Column, nodes: Column, terminals: Column) -> Co
 
     Each transform binds what the next one uses several times, so nothing is computed twice.
     """
-    level = F.transform(
-        pointer_nodes,
-        lambda n: F.struct(n["t"].alias("t"), (F.when(n["t"] < F.size(terminals), F.try_element_at(terminals, n["t"] + 1)["level"]) - n["h"]).alias("level")),
-    )
+    inside = F.transform(pointer_nodes, lambda n: F.struct(n.alias("n"), F.when(n["t"] < F.size(terminals), F.try_element_at(terminals, n["t"] + 1)).alias("x")))
+    level = F.transform(inside, lambda p: F.struct(p["n"]["t"].alias("t"), (p["x"]["level"] - p["n"]["h"]).alias("level"), (p["x"]["node"] - p["n"]["h"]).alias("node")))
+    above = F.transform(level, lambda n: F.struct(n.alias("n"), F.when(n["level"] >= 0, F.try_element_at(nodes, n["node"] + 1)).alias("x")))
     target = F.transform(
-        level,
-        lambda n: F.struct(
-            n["level"].alias("level"),
-            F.when(n["level"] >= 0, F.try_element_at(F.filter(nodes, lambda x: (x["lt"] == n["t"]) & (x["level"] == n["level"])), F.lit(1))).alias("x"),
-        ),
+        above, lambda p: F.struct(p["n"]["level"].alias("level"), F.when((p["x"]["lt"] == p["n"]["t"]) & (p["x"]["level"] == p["n"]["level"]), p["x"]).alias("x"))
     )
 
     def result(n: Column) -> Column:

@@ -1,8 +1,9 @@
 """Bracketed constituency trees as tables.
 
 A tree has no recursive type here: nodes are ``(level, label, lt, nt)``, where a node covers the terminals
-``[lt, lt + nt)`` and the root has level 0. With that, a pointer is an equality on ``(lt, level)`` and no path is
-walked. One pass with an explicit stack per text runs inside the scan (a map, no shuffle), where a window form
+``[lt, lt + nt)`` and the root has level 0. With that, a pointer is an equality on ``(lt, level)``. Nodes stand in the order
+of the text, so the ancestors of a terminal that begin with it stand right before its own ``node``, and no path is
+walked or searched. One pass with an explicit stack per text runs inside the scan (a map, no shuffle), where a window form
 would have to explode, shuffle and sort every bracket; depth is not limited by recursion.
 
 Error codes in order of what is met first: ``tree_source_empty``, ``tree_syntax_invalid``,
@@ -28,7 +29,7 @@ TOKEN = re.compile(r"[()]|[^\s()]+")
 EMPTY = "-NONE-"
 
 NODE = "struct<level:int,label:string,lt:int,nt:int>"
-TERMINAL = "struct<word:string,pos:string,level:int,surface:int,path:array<int>>"
+TERMINAL = "struct<word:string,pos:string,level:int,surface:int,node:int,path:array<int>>"
 
 
 class TreeError(Exception):
@@ -76,7 +77,7 @@ def scan_trees(source: str) -> list[tuple[list[tuple], list[tuple]]]:
                 if words:
                     empty = nodes[number][1] == EMPTY
                     path = [o[2] - 1 for o in open_nodes]
-                    terminals.append((words[0], nodes[number][1], nodes[number][0], None if empty else surface, path))
+                    terminals.append((words[0], nodes[number][1], nodes[number][0], None if empty else surface, number, path))
                     surface += not empty
                 nodes[number][3] = len(terminals) - nodes[number][2]
                 at += 1
@@ -100,9 +101,18 @@ def parse_trees(df: DataFrame, source_col: str, *keys: str, single: bool = False
     """
     ship(df.sparkSession)
     count = len(keys)
-    node_type = pa.list_(pa.struct([("level", pa.int32()), ("label", pa.string()), ("lt", pa.int32()), ("nt", pa.int32())]))
-    terminal_type = pa.list_(pa.struct([("word", pa.string()), ("pos", pa.string()), ("level", pa.int32()), ("surface", pa.int32()), ("path", pa.list_(pa.int32()))]))
-    node_names, terminal_names = ("level", "label", "lt", "nt"), ("word", "pos", "level", "surface", "path")
+    node_names, terminal_names = ("level", "label", "lt", "nt"), ("word", "pos", "level", "surface", "node", "path")
+    node_types = (pa.int32(), pa.string(), pa.int32(), pa.int32())
+    terminal_types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
+
+    def lists(rows: list[list[tuple] | None], names: tuple[str, ...], types: tuple[pa.DataType, ...]) -> pa.ListArray:
+        """Rows of tuples as an array of lists of structs, column by column."""
+        offsets, at = [], 0
+        for row in rows:
+            offsets.append(None if row is None else at)
+            at += len(row or ())
+        columns = list(zip(*(x for row in rows for x in row or ()))) or [()] * len(names)
+        return pa.ListArray.from_arrays(pa.array([*offsets, at], pa.int32()), pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,12 +128,12 @@ def parse_trees(df: DataFrame, source_col: str, *keys: str, single: bool = False
                 for k, n, t, e in found:
                     owner.append(i)
                     number.append(k)
-                    nodes.append(None if n is None else [dict(zip(node_names, x)) for x in n])
-                    terminals.append(None if t is None else [dict(zip(terminal_names, x)) for x in t])
+                    nodes.append(n)
+                    terminals.append(t)
                     errors.append(e)
             at = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(at) for c in range(count)), pa.array(number, pa.int32()), pa.array(nodes, node_type), pa.array(terminals, terminal_type), pa.array(errors, pa.string())],
+                [*(batch.column(c).take(at) for c in range(count)), pa.array(number, pa.int32()), lists(nodes, node_names, node_types), lists(terminals, terminal_names, terminal_types), pa.array(errors, pa.string())],
                 [*keys, "tree_no", "nodes", "terminals", "tree_error"],
             )
 

@@ -2,7 +2,7 @@
 
 Trees come from two places: regions, nations and customers as a three-level tree, and the tree leaves of
 ``penn_terminals`` put back into brackets by their paths. Records are written from the role spans of
-``srl_examples``, one pointer node per word.
+``srl_examples``, one pointer node per word, and, as cases of every rule, from ``CASES``: one record for each sentence.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbatlas.operators import align, bio, propositions, trees
-from verbatlas.session import read
+from verbatlas.plans import conversion_sql
+from verbatlas.session import materialize, read
 
 
 def geo_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,14 +148,87 @@ def example_records(examples: DataFrame, parsed: DataFrame) -> DataFrame:
     return found.withColumn("record_error", F.coalesce("example_error", "record_error"))
 
 
+def parsed_once(parsed: DataFrame) -> DataFrame:
+    """Trees for conversion, written once: records and their conversion both read them."""
+    return materialize(parsed.withColumn("terminals", F.transform("terminals", lambda t: t.dropFields("path"))), "trees")
+
+
 def conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = parsed_sentences(spark, sf_dir).withColumn("terminals", F.transform("terminals", lambda t: t.dropFields("path")))
+    parsed = parsed_once(parsed_sentences(spark, sf_dir))
     return propositions.conversion_rows(example_records(read(spark, sf_dir, "srl_examples"), parsed), parsed)
 
 
+TYPED = "{d} {s} {v} gold go-v go.01 ----- "
+
+#: Records of every kind. Of a sentence: d document, s number, v first verb, e first empty element (else the last one), n last terminal,
+#: o a terminal outside.
+CASES = (
+    *(TYPED + labels for labels in (
+        "{v}:0-rel 0:0-ARG0", "{v}:0-rel 0:1-ARG0", "{v}:0-rel 0:2-ARG1-xy", "{v}:0-rel 0:0*{n}:0-ARG1", "{v}:0-rel {e}:0-ARG1", "{v}:0-rel {e}:0*0:0-ARG1", "{v}:0-rel 0:9-ARG0",
+        "{v}:0-rel {o}:0-ARG0", "{v}:0-rel 0:0,0:0-ARG0 {n}:0-ARGM-TMP", "{v}:0-rel 0:0-ARGM", "{v}:0-rel 0:0-FOO", "{v}:0-rel 0:0-C-ARG1", "{v}:0-rel 0:0-R-ARG1",
+        "{v}:0-rel {n}:0-ARG1 0:0-C-ARG1", "{v}:0-rel 0:0-ARG0 0:0-ARG1", "{v}:0-rel {v}:0-ARG0", "{v}:1-rel 0:0-ARG0", "{v}:0*0:0-rel", "0:0-rel", "{v}:0-rel 0:0*{e}:0-LINK-XYZ",
+        "{v}:0-rel 0:0-LINK-PCR", "{v}:0-rel {e}:0*0:0-LINK-PCR", "{v}:0-rel 0:0-ARG0 {n}:0-ARG1 0:0*{n}:0-LINK-PCR", "{v}:0-rel 0:0-ARG0 {e}:0*0:0-LINK-PCR {e}:0*0:0-LINK-SLC",
+        "{v}:0-rel 0:0;{n}:0-ARG0", "{v}:0-rel 0:0;1:0*2:0-ARG0", "{v}:0-rel 0:0;1:0,2:0-ARG0", "{v}:0-rel bad", "0:0-ARG0", "{v}:0-rel {v}:0-rel", "{v}:0,0:0-rel 0:0-ARG0",
+        "{v}:0-rel 0:1,0:0-ARG0", "{v}:0-rel 1:2-ARG0", "{v}:0,{n}:0-rel 0:0-ARG0 0:0-LINK", "{v}:0-rel 0:3-ARG2 {e}:1-ARG1",
+    )),
+    "{d} {s} {v} gold go-n go.01 ----- {v}:0-rel", "{d} {s} {v} gold go.01 vp--a {v}:0-rel 0:0-ARG0", "{d} {s} {v} gold go.01 vp--a {v}:0-rel 0:0;1:0-ARG0", "{d} {s} {v} gold go.01 vp--a {v}:0-rel 0:0-C-ARG0",
+    "{d} {s} {v} gold go.01 vp-a {v}:0-rel 0:0-ARG0", "{d} {s} {v} gold go-v go.01 --- {v}:0-rel", "{d} {s} {v} gold go-v go ----- {v}:0-rel", "{d} x {v} gold go-v go.01 ----- {v}:0-rel",
+    "{d} {s} {v} gold go-v", "  ", "{d} 9999 {v} gold go-v go.01 ----- {v}:0-rel", "{d} {s} {o} gold go-v go.01 ----- {v}:0-rel", "{d} {s} {e} gold go-v go.01 ----- {v}:0-rel 0:0-ARG0",
+    "wsj_{d} {s} {v} gold go-v go.01 ----- {v}:0-rel",
+)
+
+
+def case_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record of ``CASES`` for each sentence, converted; the sentences of the last case are renamed in the trees too."""
+    parsed = parsed_once(parsed_sentences(spark, sf_dir))
+    place = lambda test: F.coalesce(F.array_position(F.transform("terminals", test), F.lit(True)), F.lit(0)) - 1
+    n = F.coalesce(F.array_size("terminals"), F.lit(0))
+    rows = parsed.select("document_id", "sentence_index", "nodes", "terminals", "tree_error", n.alias("n"), place(lambda t: t["pos"].startswith("VB")).alias("v"), place(lambda t: t["surface"].isNull()).alias("e"))
+    rows = rows.withColumn("case", F.pmod(F.col("n") * 31 + F.coalesce("sentence_index", F.lit(0)) * 17 + F.col("v") * 5, F.lit(len(CASES))).cast("int"))
+    line = F.element_at(F.array(*map(F.lit, CASES)), F.col("case") + 1)
+    values = {
+        "{d}": F.coalesce("document_id", F.lit("")), "{s}": F.coalesce(F.col("sentence_index").cast("string"), F.lit("")), "{v}": F.greatest("v", F.lit(0)).cast("string"),
+        "{e}": F.when(F.col("e") >= 0, F.col("e")).otherwise(F.greatest(F.col("n") - 1, F.lit(0))).cast("string"), "{n}": F.greatest(F.col("n") - 1, F.lit(0)).cast("string"), "{o}": (F.col("n") + 3).cast("string"),
+    }
+    for name, value in values.items():
+        line = F.replace(line, F.lit(name), value)
+    renamed = F.when(F.col("case") == len(CASES) - 1, F.concat(F.lit("wsj_"), "document_id")).otherwise(F.col("document_id"))
+    rows = materialize(rows.withColumn("line", line).withColumn("document_id", renamed), "case-trees")
+    return propositions.conversion_rows(propositions.parse_records(rows.select("line")), rows)
+
+
+def record_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reason of every case record."""
+    return case_conversions(spark, sf_dir).select("raw_line", "record_id", "reason_code")
+
+
+def record_case_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return propositions.coverage(case_conversions(spark, sf_dir)).withColumn("share", F.round("share", 6))
+
+
+def record_case_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = propositions.examples_of(case_conversions(spark, sf_dir))
+    return found.select("example_id", F.posexplode("tags").alias("pos", "tag"))
+
+
+def provenance_text(converted: DataFrame) -> DataFrame:
+    """Provenance with its arrays written out."""
+    numbers = lambda a, sep: F.array_join(F.transform(a, lambda x: x.cast("string")), sep, "-")
+    role = lambda r: F.concat_ws("|", r["raw_label"], r["model_label"], F.coalesce(r["feature"], F.lit("")), r["raw_pointer"], F.array_join(F.transform(r["pieces"], lambda p: numbers(p, ",")), ";"))
+    return propositions.provenance_of(converted).select(
+        "record_id", "raw_line", "document_id", "dialect", "predicate_terminal", "predicate_pos", numbers("terminal_to_word", " ").alias("terminal_to_word"), numbers("predicate_words", " ").alias("predicate_words"),
+        F.array_join(F.transform("roles", role), " ").alias("roles"), F.array_join("link_labels", " ").alias("link_labels"), F.array_join("warnings", " ").alias("warnings"),
+    )
+
+
+def record_case_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance_text(case_conversions(spark, sf_dir))
+
+
 def prop_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = example_records(read(spark, sf_dir, "srl_examples"), parsed_sentences(spark, sf_dir))
-    return found.select("example_id", "document_id", "sentence_index", "roleset", "dialect", "kind", F.size("labels").alias("n_labels"), "record_error")
+    label = lambda x: F.concat_ws("|", x["label"], x["raw"])
+    return found.select("example_id", "document_id", "sentence_index", "roleset", "dialect", "kind", F.size("labels").alias("n_labels"), F.array_join(F.transform("labels", label), " ").alias("labels"), "record_error")
 
 
 def role_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +249,7 @@ def bio_from_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversion_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return propositions.provenance_of(conversions(spark, sf_dir))
+    return provenance_text(conversions(spark, sf_dir))
 
 
 def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,39 +288,22 @@ def queries() -> dict:
     return {f.__name__: f for f in (
         tree_nodes, terminals, preterminal_paths, surface_words, balanced_tree_counts, pointer_parse, pointer_resolution, prop_records, role_labels,
         conversion_outcomes, bio_from_pointers, conversion_provenance, coverage_report, role_base_anti, subword_alignment,
+        record_cases, record_case_coverage, record_case_tags, record_case_provenance,
     )}
 
 
-LEAVES = r"""
-WITH leaf AS (SELECT DISTINCT document_id, sentence_index, terminal_index, word, pos, preterminal_path FROM penn_terminals),
-ok AS (SELECT document_id, sentence_index FROM leaf GROUP BY ALL
-  HAVING count(*) = max(terminal_index) + 1 AND bool_and(coalesce(regexp_full_match(word, '[^\s()]+') AND regexp_full_match(pos, '[^\s()]+'), false))),
-t AS (SELECT leaf.*, CASE WHEN pos = '-NONE-' THEN -1 ELSE sum((pos <> '-NONE-')::INT) OVER (PARTITION BY document_id, sentence_index ORDER BY terminal_index) - 1 END::INT AS surface
-  FROM leaf SEMI JOIN ok USING (document_id, sentence_index))"""
-
-RECORDS = LEAVES + r""",
-ex AS (SELECT * FROM (SELECT *, string_split(example_id, ':')[-2]::INT AS sentence_index, row_number() OVER (PARTITION BY example_id) AS rn FROM
-    (SELECT DISTINCT example_id, document_id, words, predicate_index, tags, predicate_roleset FROM srl_examples)) WHERE rn = 1 AND regexp_full_match(predicate_roleset, '[a-z]+\.[0-9]+')),
-use_ AS (SELECT ex.* FROM ex JOIN (SELECT document_id, sentence_index, count(*) FILTER (WHERE surface >= 0) AS n FROM t GROUP BY ALL) c USING (document_id, sentence_index) WHERE n = len(words)),
-tag AS (SELECT example_id, document_id, sentence_index, predicate_index, unnest(tags) AS tag, unnest(range(len(tags)))::INT AS pos FROM use_),
-lab AS (SELECT *, CASE WHEN tag = 'O' THEN '' ELSE tag[3:] END AS label FROM tag),
-pred AS (SELECT use_.example_id, use_.document_id, use_.sentence_index, t.terminal_index, t.pos, document_id || ':' || sentence_index || ':' || t.terminal_index AS record_id
-  FROM use_ JOIN t USING (document_id, sentence_index) WHERE t.surface = use_.predicate_index),
-role AS (SELECT DISTINCT example_id, label, CASE WHEN regexp_full_match(label, '(C-|R-)?ARG([0-9]+|A)(-[A-Za-z0-9][A-Za-z0-9_.-]*)?') THEN regexp_extract(label, '^((?:C-|R-)?ARG(?:[0-9]+|A))', 1)
-    WHEN regexp_full_match(label, '(C-|R-)?ARGM-[A-Za-z0-9][A-Za-z0-9_.-]*') THEN label END AS model FROM lab WHERE label NOT IN ('', 'V')),
-rpos AS (SELECT lab.example_id, model, min(lab.pos) AS a, max(lab.pos) AS b FROM lab JOIN role USING (example_id, label) GROUP BY ALL),
-vcount AS (SELECT example_id, count(*) FILTER (WHERE label = 'V' AND (tag[1] = 'B' OR coalesce(plabel, '') <> 'V')) AS n,
-    bool_or(label = 'V' AND pos = predicate_index) AS covers FROM (SELECT *, lag(label) OVER (PARTITION BY example_id ORDER BY pos) AS plabel FROM lab) GROUP BY example_id),
-bare AS (SELECT DISTINCT example_id FROM role WHERE model IS NULL AND label IN ('ARGM', 'C-ARGM', 'R-ARGM')),
-out_ AS (SELECT pred.*, CASE WHEN v.n <> 1 THEN 'predicate_label_count_invalid'
-    WHEN pred.pos NOT IN ('VB', 'VBD', 'VBG', 'VBN', 'VBP', 'VBZ') THEN 'predicate_pos_mismatch'
-    WHEN NOT v.covers THEN 'rel_does_not_cover_predicate'
-    WHEN EXISTS (FROM role r WHERE r.example_id = pred.example_id AND r.model IS NULL) THEN
-      CASE WHEN pred.example_id IN (FROM bare) THEN 'argm_feature_missing' ELSE 'unsupported_role' END
-    WHEN EXISTS (FROM role r WHERE r.example_id = pred.example_id AND starts_with(r.model, 'C-') AND NOT EXISTS (FROM role q WHERE q.example_id = r.example_id AND q.model = r.model[3:])) THEN 'continuation_role_without_base'
-    WHEN EXISTS (FROM role r WHERE r.example_id = pred.example_id AND starts_with(r.model, 'R-') AND NOT EXISTS (FROM role q WHERE q.example_id = r.example_id AND q.model = r.model[3:])) THEN 'reference_role_without_base'
-    WHEN EXISTS (FROM rpos r JOIN rpos q ON q.example_id = r.example_id AND q.model = r.model[3:] WHERE r.example_id = pred.example_id AND starts_with(r.model, 'C-') AND r.a <= q.b) THEN 'continuation_role_precedes_base'
-    END AS reason_code FROM pred JOIN vcount v USING (example_id))"""
+LEAVES = conversion_sql.LEAVES
+RECORDS = LEAVES + conversion_sql.EXAMPLE_LINES + conversion_sql.RECORDS
+OUTCOMES = RECORDS + conversion_sql.OUTCOMES
+
+CASE_OUTCOMES = LEAVES.replace("raw_leaf AS", "raw_leaf0 AS", 1).replace("FROM penn_terminals)", f"""FROM penn_terminals),
+place AS (SELECT document_id, sentence_index, CASE WHEN count(*) = count(DISTINCT terminal_index) AND count(*) = count(terminal_index) AND count(*) = count(preterminal_path) AND min(terminal_index) = 0 AND max(terminal_index) = count(*) - 1 THEN count(*) ELSE 0 END AS n,
+    coalesce(min(terminal_index) FILTER (WHERE starts_with(pos, 'VB')), -1) AS v, coalesce(min(terminal_index) FILTER (WHERE pos = '-NONE-'), -1) AS e FROM raw_leaf0 GROUP BY ALL),
+place2 AS (SELECT document_id, sentence_index, n, if(n = 0, -1, v) AS v, if(n = 0, -1, e) AS e FROM place),
+choice AS (SELECT *, ((n * 31 + sentence_index * 17 + v * 5) % {len(CASES)} + {len(CASES)}) % {len(CASES)} AS number FROM place2),
+raw_leaf AS (SELECT if(number = {len(CASES) - 1}, 'wsj_', '') || document_id AS document_id, sentence_index, terminal_index, word, pos, preterminal_path FROM raw_leaf0 JOIN choice USING (document_id, sentence_index))""", 1) + f""",
+line AS (SELECT document_id || ':' || sentence_index AS rid, NULL::VARCHAR AS example_error, replace(replace(replace(replace(replace(replace([{", ".join(f"'{c}'" for c in CASES)}][number + 1],
+  '{{d}}', document_id), '{{s}}', sentence_index::VARCHAR), '{{v}}', greatest(v, 0)::VARCHAR), '{{e}}', if(e >= 0, e, greatest(n - 1, 0))::VARCHAR), '{{n}}', greatest(n - 1, 0)::VARCHAR), '{{o}}', (n + 3)::VARCHAR) AS raw FROM choice)""" + conversion_sql.RECORDS + conversion_sql.OUTCOMES
 
 GEO = """
 WITH c AS (SELECT c_nationkey AS nation, replace(c_name, ' ', '_') AS name FROM customer),
@@ -264,20 +321,20 @@ UNION ALL SELECT region, 2, pos, t, 1 FROM t""",
         "balanced_tree_counts": f"{GEO} SELECT region, 1 AS sentences, count(*)::INT AS n_terminals FROM t GROUP BY region",
         "terminals": f"{LEAVES} SELECT document_id, sentence_index, terminal_index AS t, word, pos, len(preterminal_path)::INT AS level, surface FROM t",
         "preterminal_paths": f"{LEAVES} SELECT document_id, sentence_index, terminal_index AS t, array_to_string(preterminal_path, '.') AS path FROM t",
-        "surface_words": f"{LEAVES} SELECT document_id, sentence_index, coalesce(string_agg(word, ' ' ORDER BY terminal_index) FILTER (WHERE surface >= 0), '') AS words FROM t GROUP BY ALL",
+        "surface_words": f"""{LEAVES} SELECT s.document_id, s.sentence_index, CASE WHEN whole THEN coalesce(string_agg(word, ' ' ORDER BY terminal_index) FILTER (WHERE surface >= 0), '') END AS words
+FROM sentence s LEFT JOIN t USING (document_id, sentence_index) GROUP BY s.document_id, s.sentence_index, whole""",
         "pointer_parse": """
 SELECT event_id, raw, CASE event_type WHEN 'signup' THEN 'pointer_syntax_invalid' WHEN 'error' THEN 'mixed_semicolon_chain_unsupported' END AS pointer_error,
   CASE event_type WHEN 'signup' THEN 0 WHEN 'error' THEN 0 WHEN 'click' THEN 2 ELSE 1 END::INT AS members,
   CASE event_type WHEN 'signup' THEN 0 WHEN 'error' THEN 0 WHEN 'click' THEN 3 WHEN 'view' THEN 2 ELSE 1 END::INT AS nodes
 FROM (SELECT *, (user_id % 50) || ':' || (event_id % 4) || CASE event_type WHEN 'click' THEN ',3:1*4:0' WHEN 'view' THEN ';5:2' WHEN 'error' THEN ';1:0*2:2' WHEN 'signup' THEN '-' ELSE '' END AS raw FROM events)""",
         "pointer_resolution": f"""{LEAVES},
-q AS (SELECT document_id, sentence_index, terminal_index AS t, h::INT AS h, preterminal_path AS path, len(preterminal_path) - h AS keep FROM t, range(4) r(h)),
-m AS (SELECT q.*, o.terminal_index AS o, o.surface AS s FROM q JOIN t o ON o.document_id = q.document_id AND o.sentence_index = q.sentence_index
-  AND keep >= 0 AND (keep = 0 OR o.preterminal_path[1:keep] = path[1:keep])),
-g AS (SELECT document_id, sentence_index, t, h, min(o) AS lo, count(*) AS nt, count(*) FILTER (WHERE s >= 0) AS ns FROM m GROUP BY ALL)
+g AS (SELECT document_id, sentence_index, level, prefix, min(terminal_index) AS lo, count(*) AS nt, count(*) FILTER (WHERE surface >= 0) AS ns
+  FROM (SELECT document_id, sentence_index, terminal_index, surface, level, preterminal_path[1:level] AS prefix FROM t, unnest(range(len(preterminal_path) + 1)) r(level)) GROUP BY ALL),
+q AS (SELECT document_id, sentence_index, terminal_index AS t, h::INT AS h, len(preterminal_path) - h AS keep, CASE WHEN h <= len(preterminal_path) THEN preterminal_path[1:(len(preterminal_path) - h)] END AS prefix FROM t, range(4) r(h))
 SELECT q.document_id, q.sentence_index, q.t, q.h, CASE WHEN keep < 0 THEN 'pointer_height_out_of_range' WHEN lo <> q.t THEN 'pointer_leftmost_terminal_mismatch' END AS pointer_error,
   CASE WHEN keep < 0 OR lo <> q.t THEN -1 ELSE nt END::INT AS nt, CASE WHEN keep < 0 OR lo <> q.t THEN -1 ELSE ns END::INT AS n_surface
-FROM q LEFT JOIN g USING (document_id, sentence_index, t, h)""",
+FROM q LEFT JOIN g ON g.document_id = q.document_id AND g.sentence_index = q.sentence_index AND g.level = q.keep AND g.prefix = q.prefix""",
         "role_labels": r"""
 WITH l AS (SELECT DISTINCT tag[3:] AS raw_label FROM (SELECT unnest(tags) AS tag FROM srl_examples) WHERE tag <> 'O')
 SELECT raw_label, CASE WHEN core THEN regexp_extract(raw_label, '^((?:C-|R-)?ARG(?:[0-9]+|A))', 1) WHEN modi THEN raw_label END AS model_label,
@@ -285,11 +342,9 @@ SELECT raw_label, CASE WHEN core THEN regexp_extract(raw_label, '^((?:C-|R-)?ARG
   CASE WHEN core OR modi THEN NULL WHEN raw_label IN ('ARGM', 'C-ARGM', 'R-ARGM') THEN 'argm_feature_missing' ELSE 'unsupported_role' END AS reason_code
 FROM (SELECT *, regexp_full_match(raw_label, '(C-|R-)?ARG([0-9]+|A)(-[A-Za-z0-9][A-Za-z0-9_.-]*)?') AS core,
   regexp_full_match(raw_label, '(C-|R-)?ARGM-[A-Za-z0-9][A-Za-z0-9_.-]*') AS modi FROM l WHERE raw_label <> '')""",
-        "prop_records": f"""{RECORDS},
-starts AS (SELECT example_id, count(*) FILTER (WHERE tag <> 'O' AND (tag[1] = 'B' OR coalesce(plabel, '') <> label)) AS n
-  FROM (SELECT *, lag(label) OVER (PARTITION BY example_id ORDER BY pos) AS plabel FROM lab) GROUP BY example_id)
-SELECT example_id, document_id, sentence_index, predicate_roleset AS roleset, 'modern' AS dialect, 'v' AS kind, starts.n::INT AS n_labels,
-  CASE WHEN v.n <> 1 THEN 'predicate_label_count_invalid' END AS record_error FROM use_ JOIN starts USING (example_id) JOIN vcount v USING (example_id)""",
+        "prop_records": f"""{RECORDS}
+SELECT rid AS example_id, doc AS document_id, si AS sentence_index, roleset, CASE WHEN typed THEN 'modern' ELSE 'classic' END AS dialect, kind, n_labels,
+  coalesce(texts, '') AS labels, record_error FROM rec3 LEFT JOIN (SELECT rid, string_agg(label || '|' || raw, ' ' ORDER BY k) AS texts FROM lab2 GROUP BY rid) USING (rid)""",
         "subword_alignment": """
 WITH ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY example_id) AS rn FROM (SELECT DISTINCT example_id, words, tags, predicate_index FROM srl_examples)) WHERE rn = 1),
 w AS (SELECT example_id, unnest(words) AS word, unnest(tags) AS tag FROM ex),
@@ -300,11 +355,14 @@ e AS (SELECT example_id, pieces, outside, CASE WHEN pieces IS NULL THEN 'words c
   FROM ex LEFT JOIN c USING (example_id))
 SELECT example_id, align_error, coalesce(pieces, 0) + 2 AS n_pieces, CASE WHEN align_error IS NULL THEN 2 ELSE -1 END AS n_special,
   CASE WHEN align_error IS NULL THEN 1 ELSE -1 END AS n_indicated, CASE WHEN align_error IS NULL THEN outside ELSE -1 END AS n_outside FROM e""",
-        "conversion_outcomes": f"{RECORDS} SELECT record_id, document_id, reason_code FROM out_",
-        "coverage_report": f"{RECORDS} SELECT reason_code, count(*)::BIGINT AS records, round(count(*) / (SELECT count(*) FROM out_), 6) AS share FROM out_ GROUP BY reason_code",
-        "bio_from_pointers": f"""{RECORDS}
-SELECT record_id AS example_id, lab.pos, CASE WHEN lab.label = '' THEN 'O' WHEN lab.pos = predicate_index THEN 'B-V' WHEN lab.label = 'V' THEN 'B-C-V' ELSE 'B-' || model END AS tag
-FROM out_ JOIN lab USING (example_id) LEFT JOIN role USING (example_id, label) WHERE reason_code IS NULL""",
+        "conversion_outcomes": f"{OUTCOMES} SELECT record_id, document_id, reason_code FROM out_",
+        "coverage_report": f"{OUTCOMES} SELECT reason_code, count(*)::BIGINT AS records, round(count(*) / (SELECT count(*) FROM out_), 6) AS share FROM out_ GROUP BY reason_code",
+        "bio_from_pointers": f"{OUTCOMES} SELECT record_id AS example_id, pos, tag FROM tagged",
+        "conversion_provenance": OUTCOMES + conversion_sql.PROVENANCE,
+        "record_cases": f"{CASE_OUTCOMES} SELECT raw_line, record_id, reason_code FROM out_",
+        "record_case_coverage": f"{CASE_OUTCOMES} SELECT reason_code, count(*)::BIGINT AS records, round(count(*) / (SELECT count(*) FROM out_), 6) AS share FROM out_ GROUP BY reason_code",
+        "record_case_tags": f"{CASE_OUTCOMES} SELECT record_id AS example_id, pos, tag FROM tagged",
+        "record_case_provenance": CASE_OUTCOMES + conversion_sql.PROVENANCE,
         "role_base_anti": """
 WITH l AS (SELECT DISTINCT example_id, CASE WHEN tag = 'O' THEN '' ELSE tag[3:] END AS label FROM (SELECT example_id, unnest(tags) AS tag FROM srl_examples))
 SELECT example_id, label FROM l WHERE regexp_matches(label, '^[CR]-') AND NOT EXISTS (FROM l b WHERE b.example_id = l.example_id AND b.label = l.label[3:])""",

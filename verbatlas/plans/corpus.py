@@ -73,8 +73,8 @@ def queries() -> dict:
 
 
 LAYERS = """
-WITH d AS (SELECT DISTINCT 'text' AS layer, document_id FROM srl_examples WHERE source IS NOT NULL AND document_id NOT LIKE '%3'
-  UNION SELECT 'ptb', document_id FROM penn_terminals UNION SELECT 'prop', document_id FROM srl_examples WHERE predicate_roleset LIKE 'w%'),
+WITH d AS (SELECT DISTINCT 'text' AS layer, document_id FROM srl_examples
+  UNION SELECT 'ptb', document_id FROM penn_terminals UNION SELECT 'prop', document_id FROM srl_examples WHERE predicate_roleset IS NOT NULL),
 l AS (SELECT *, CASE WHEN string_split(document_id, '-')[1] IN ('call', 'minutes') AND NOT (layer = 'ptb' AND document_id LIKE '%7') THEN 'spoken' ELSE 'written' END AS genre
   FROM d WHERE document_id IS NOT NULL)"""
 

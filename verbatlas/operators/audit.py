@@ -1,8 +1,8 @@
 """Audit of a layered corpus archive: members, layers, joins, duplicates, retention, conversion, one report.
 
-All steps are tables; only their aggregates (a row per layer, reason, dialect or document of the manifest) reach the
-driver to make the report. Which documents are admitted, and to which source family a document belongs, are
-parameters: the engine holds no list of its own.
+All steps are tables (``audit_tables``), whatever the number of archives and documents. The report of one archive is
+made from them on the driver; it names documents and paths, so it is refused beyond ``LISTED`` of a kind. Which
+documents are admitted, and to which source family a document belongs, are parameters: the engine holds no list of its own.
 
 Layers: ``text``, ``ptb`` and ``prop``, told apart by path prefix and suffix. Every document is named by the file
 without its layer suffix, through an alias table.
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verbatlas.operators import propositions, trees
-from verbatlas.session import materialize
+from verbatlas.session import materialize, parameter_rows
 from verbatlas.sources import archive as source
 
 # Layer prefixes and suffixes, names of notices, the threshold of the conversion gate.
@@ -42,6 +42,9 @@ ALIASES = {
     },
 }
 
+#: Documents or paths of one kind that a report may name.
+LISTED = 200_000
+
 LABEL = propositions.LABEL_FIELD
 WHITE = r"[\p{Z}\t\n\x0B\f\r\x1c-\x1f\x85]+"
 
@@ -60,7 +63,7 @@ def classified(members: DataFrame) -> DataFrame:
         F.when(path.startswith(PREFIXES["text"]) & path.rlike(SUFFIXES["text"]), "text"),
     )
     rows = members.withColumn("clean", clean).withColumn("layer", F.when(F.col("clean"), layer))
-    inner = F.coalesce(*(F.when(F.col("layer") == n, F.substring(path, len(p) + 1, 10_000)) for n, p in PREFIXES.items()))
+    inner = F.coalesce(*(F.when(F.col("layer") == n, F.substring(path, F.lit(len(p) + 1), F.char_length(path))) for n, p in PREFIXES.items()))
     genre = F.regexp_extract(inner, r"^(spoken|written)/[^/]+$", 1)
     stem = F.coalesce(*(F.when(F.col("layer") == n, F.regexp_replace(base_name(path), s, "")) for n, s in SUFFIXES.items()))
     aliases = F.coalesce(*(F.when((F.col("layer") == n) & (F.col("_stem") == a), to) for n, table in ALIASES.items() for a, to in table.items()))
@@ -247,73 +250,95 @@ def structural_findings(records: DataFrame, sentences: DataFrame) -> DataFrame:
     )
 
 
-def counts_of(df: DataFrame, key: str) -> dict:
-    """A small grouped count as a dict in order of its keys."""
-    return {r[0]: r[1] for r in df.groupBy(key).agg(F.count("*").alias("n")).orderBy(key).collect()}
+def safety_facts(rows: DataFrame) -> DataFrame:
+    """One row of counts over classified members: files, sizes, and everything that makes an archive unsafe."""
+    file = ~F.col("is_dir")
+    return rows.agg(
+        F.count("*").alias("entries"), F.count_if(file).alias("files"), F.count_if(file & F.col("clean")).alias("clean_files"),
+        F.coalesce(F.sum(F.when(file, F.col("size"))), F.lit(0)).alias("uncompressed_bytes"), F.coalesce(F.sum(F.when(file, F.col("compressed"))), F.lit(0)).alias("compressed_bytes"),
+        F.count_if(file & F.col("unsafe")).alias("unsafe"), F.count_if(file & F.col("symlink")).alias("symlinks"), F.count_if(file & F.col("encrypted")).alias("encrypted"),
+        F.count_if(file & ~F.coalesce("crc_ok", F.lit(True))).alias("damaged"), (F.count("*") - F.count_distinct("path")).alias("duplicate_names"),
+        (F.count("*") - F.count_distinct(F.lower("path"))).alias("casefold_collisions"), F.coalesce(F.max(F.col("path") == README), F.lit(False)).alias("readme_present"),
+    )
 
 
-def audit_archive(
-    spark: SparkSession,
-    path: str,
-    allowed: Sequence[str],
-    families: Mapping[str, str] | None = None,
-    pin: tuple[str, int, str] | None = None,
-    allow_unpinned: bool = False,
-) -> dict:
-    """The whole report. ``allowed`` are the admitted documents, ``families`` maps documents to source families,
-    ``pin`` is (file name, bytes, sha256) of the expected file; another file is an error unless allowed."""
-    name, size, digest = source.fingerprint(path)
-    match = source.check_pin(path, *pin) if pin else dict.fromkeys(("filename", "bytes", "sha256"), False)
-    pinned = all(match.values())
-    if not pinned and not allow_unpinned:
-        raise ValueError("the archive does not match the pinned file name, size and SHA-256")
-    denied = sorted(d for d in set(allowed) if d.casefold().startswith("wsj_"))
-    admitted = sorted(set(allowed) - set(denied))
-
-    rows = materialize(classified(source.read_archive(spark, path)), "members")
-    facts = rows.where("not is_dir").agg(
-        F.count("*").alias("files"), F.count_if("clean").alias("clean"), F.sum("size").alias("size"), F.sum("compressed").alias("compressed"),
-        F.array_sort(F.collect_set(F.when(F.col("unsafe"), F.col("path")))).alias("unsafe"), F.array_sort(F.collect_set(F.when(F.col("symlink"), F.col("path")))).alias("symlinks"),
-        F.array_sort(F.collect_set(F.when(F.col("encrypted"), F.col("path")))).alias("encrypted"), F.min_by("path", F.when(~F.col("crc_ok"), F.col("position"))).alias("bad"),
-    ).first()
-    entries, names, folded, readme = rows.agg(F.count("*"), F.count_distinct("path"), F.count_distinct(F.lower("path")), F.max(F.col("path") == README)).first()
+def problem_paths(rows: DataFrame) -> DataFrame:
+    """``(problem, path)`` of members that are unsafe, symbolic links, encrypted, damaged, or of no valid genre."""
+    file = ~F.col("is_dir")
+    kinds = {
+        "unsafe": file & F.col("unsafe"), "symlink": file & F.col("symlink"), "encrypted": file & F.col("encrypted"), "damaged": file & ~F.coalesce("crc_ok", F.lit(True)),
+        "invalid_genre": F.col("layer").isNotNull() & F.col("genre").isNull(),
+    }
+    found = F.array(*(F.when(test, F.lit(name)) for name, test in kinds.items()))
+    return rows.select(F.explode(found).alias("problem"), "path").where("problem is not null")
+
+
+def notices(rows: DataFrame) -> DataFrame:
+    """``(notice, path)`` of legal notices: of the archive, or of frame files."""
     stem = F.lower(F.regexp_replace(base_name(F.col("path")), r"(?<!^)\.[^.]*$", ""))
     in_frames = F.col("path").startswith(FRAMES)
-    notices = rows.where("clean").select(
-        "path", F.when(~in_frames & stem.isin("copying", "license", "notice"), "archive").when(in_frames & stem.rlike("^(?:copying|license|notice)-[anv]$"), "frame").alias("notice")
-    ).where("notice is not null").orderBy("path").collect()
-    suffix = rows.where("clean").select(F.lower(F.regexp_extract(base_name(F.col("path")), r"(?<!^)(\.[^.]+)$", 1)).alias("s"))
-    safe = not (facts.bad or facts.unsafe or facts.symlinks or facts.encrypted or entries != names or entries != folded)
-
-    layers = layer_files(rows)
-    presence = materialize(layer_presence(layers), "presence")
+    kind = F.when(~in_frames & stem.isin("copying", "license", "notice"), "archive").when(in_frames & stem.rlike("^(?:copying|license|notice)-[anv]$"), "frame")
+    return rows.where("clean").select(kind.alias("notice"), "path").where("notice is not null")
+
+
+def suffix_counts(rows: DataFrame) -> DataFrame:
+    suffix = F.lower(F.regexp_extract(base_name(F.col("path")), r"(?<!^)(\.[^.]+)$", 1))
+    return rows.where("clean").groupBy(F.when(suffix == "", "<none>").otherwise(suffix).alias("suffix")).agg(F.count("*").alias("files"))
+
+
+def duplicate_names(layers: DataFrame) -> DataFrame:
+    """``(layer, document_id, names)`` of documents with several files in a layer."""
+    return layers.groupBy("layer", "document_id").agg(F.array_sort(F.collect_list(base_name(F.col("path")))).alias("names")).where(F.size("names") > 1)
+
+
+def is_wsj(document: str = "document_id") -> Column:
+    return F.lower(document).startswith("wsj_")
+
+
+def audit_tables(members: DataFrame, allowed: DataFrame, families: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables of the audit from the members of archives.
+
+    ``allowed`` has the admitted ``document_id``, ``families`` the ``document_id`` and ``family`` of documents.
+
+    ``rows`` (classified members), ``layers``, ``presence``, ``physical`` (dialects of all record rows), ``chosen`` (record files),
+    ``scan`` (balanced trees), ``full`` (records with the reason why they meet no tree), ``eligible``, ``broken``, ``candidates``,
+    ``failed`` (rows that exclude their document), ``exclusions`` (document, reasons, rows), ``retained``, ``records``,
+    ``converted``, ``findings``, ``rights`` (family and disposition of every document).
+    """
+    made: dict[str, DataFrame] = {}
+    asked = allowed.where("document_id is not null").select("document_id").distinct()
+    denied, admitted = asked.where(is_wsj()), asked.where(~is_wsj())
+    rows = made["rows"] = materialize(classified(members), "members")
+    layers = made["layers"] = layer_files(rows)
+    presence = made["presence"] = materialize(layer_presence(layers), "presence")
     texts = materialize(source.decoded(rows.where("layer in ('ptb', 'prop') and genre is not null").select("layer", "document_id", "path", "content")), "layer-texts")
     prop_files = texts.where("layer = 'prop'")
-    chosen = materialize(selected_records(prop_files.select("document_id", "path", "text")), "chosen")
-    physical = non_blank_lines(prop_files, "text", "document_id", "path").select(F.when(local_kind(F.col("row")) == "classic", "classic").otherwise("modern").alias("dialect"))
+    chosen = made["chosen"] = materialize(selected_records(prop_files.select("document_id", "path", "text")), "chosen")
+    made["physical"] = non_blank_lines(prop_files, "text", "document_id", "path").select(F.when(local_kind(F.col("row")) == "classic", "classic").otherwise("modern").alias("dialect"))
 
     ptb = texts.where("layer = 'ptb'").join(presence.select("document_id", "ptb_files"), "document_id")
     counted = trees.balanced_counts(ptb.where("ptb_files = 1"), "text", "document_id")
-    scan = materialize(counted.unionByName(ptb.where("ptb_files > 1").select("document_id", F.lit(None).cast("int").alias("sentences"), F.lit(None).cast("array<int>").alias("terminals"), F.lit("ambiguous_ptb_path").alias("tree_error")).distinct()), "scan")
+    several = ptb.where("ptb_files > 1").select("document_id", F.lit(None).cast("int").alias("sentences"), F.lit(None).cast("array<int>").alias("terminals"), F.lit("ambiguous_ptb_path").alias("tree_error")).distinct()
+    scan = made["scan"] = materialize(counted.unionByName(several), "scan")
     records = local_records(non_blank_lines(chosen.where("path is not null"), "text", "document_id"))
     records = duplicate_predicates(records, ["document_id", "sentence_index", "predicate_index"], "line_no", "row")
     joined = records.join(scan.where("tree_error is null").select("document_id", F.col("terminals").alias("counts")), "document_id", "left").join(
-        presence.select("document_id", F.array_contains("layers", "text").alias("has_text"), "layers", "conflict", "ptb_files", "text_files"), "document_id", "left"
+        presence.select("document_id", F.array_contains("layers", "text").alias("has_text")), "document_id", "left"
     )
-    full = materialize(joined.withColumn("reason", join_reason(joined)).withColumn("wsj", F.lower("document_id").startswith("wsj_")), "full-join")
+    full = made["full"] = materialize(joined.withColumn("reason", join_reason(joined)).withColumn("wsj", is_wsj()), "full-join")
 
     # retention: the documents of the manifest that have all layers, and their rows against parsed trees
-    manifest = spark.createDataFrame([(d,) for d in admitted], "document_id string").join(presence, "document_id", "left")
+    manifest = admitted.join(presence, "document_id", "left")
     lacking = F.explode(F.array_except(F.array(*map(F.lit, PREFIXES)), F.coalesce("layers", F.array().cast("array<string>")))).alias("l")
     reasons = manifest.select("document_id", lacking).select("document_id", F.concat("l", F.lit("_layer_missing")).alias("reason"))
     reasons = reasons.unionByName(manifest.where("conflict").select("document_id", F.lit("cross_layer_genre_conflict").alias("reason")))
-    complete = manifest.where(F.size("layers") == len(PREFIXES))
+    complete = made["complete"] = manifest.where(F.size("layers") == len(PREFIXES))
     eligible = complete.join(reasons, "document_id", "left_anti").join(chosen.select("document_id", "path"), "document_id", "left")
     ambiguous = F.when(F.col("path").isNull(), "prop_path_ambiguous").when((F.col("ptb_files") != 1) | (F.col("text_files") != 1), "layer_path_ambiguous")
-    eligible = materialize(eligible.withColumn("ambiguous", ambiguous).select("document_id", "ambiguous"), "eligible")
+    eligible = made["eligible"] = materialize(eligible.withColumn("ambiguous", ambiguous).select("document_id", "ambiguous"), "eligible")
     parsed = trees.parse_trees(ptb.join(eligible.where("ambiguous is null").select("document_id"), "document_id", "left_semi"), "text", "document_id")
-    sentences = materialize(parsed.withColumnRenamed("tree_no", "sentence_index"), "sentences")
-    broken = sentences.where("tree_error is not null").select("document_id", F.col("tree_error").alias("code"))
+    sentences = made["sentences"] = materialize(parsed.withColumnRenamed("tree_no", "sentence_index"), "sentences")
+    broken = made["broken"] = sentences.where("tree_error is not null").select("document_id", F.col("tree_error").alias("code"))
     sizes = sentences.where("tree_error is null").groupBy("document_id").agg(F.count("*").alias("n_trees"))
     candidates = records.join(sizes, "document_id").join(
         sentences.select("document_id", "sentence_index", F.size("terminals").alias("n_terminals")), ["document_id", "sentence_index"], "left"
@@ -323,96 +348,150 @@ def audit_archive(
         F.when(F.col("sentence_index") >= F.col("n_trees"), "sentence_index_out_of_range"),
         F.when(F.col("predicate_index") >= F.col("n_terminals"), "predicate_terminal_out_of_range"),
     )
-    valid = materialize(candidates.drop("duplicate").withColumn("reason", row_reason), "candidates")
+    valid = made["candidates"] = materialize(candidates.drop("duplicate").withColumn("reason", row_reason), "candidates")
     again = duplicate_predicates(valid.where("reason is null"), ["document_id", "sentence_index", "predicate_index"], "line_no", "row")
     failed = valid.where("reason is not null").select("document_id", "reason").unionByName(
         again.where("duplicate is not null").select("document_id", F.concat("duplicate", F.lit("_duplicate_predicate")).alias("reason"))
     )
-    failed = materialize(failed, "row-failures")
+    failed = made["failed"] = materialize(failed, "row-failures")
     reasons = reasons.unionByName(eligible.where("ambiguous is not null").select("document_id", F.col("ambiguous").alias("reason")))
     reasons = reasons.unionByName(broken.select("document_id", F.concat(F.lit("ptb_"), F.col("code")).alias("reason"))).unionByName(failed)
-    reasons = reasons.unionByName(spark.createDataFrame([(d, "wsj_denied_override") for d in denied], "document_id string, reason string"))
+    reasons = materialize(reasons.unionByName(denied.select("document_id", F.lit("wsj_denied_override").alias("reason"))), "reasons")
     row_counts = full.groupBy("document_id").agg(F.count("*").alias("n"))
-    excluded = reasons.groupBy("document_id").agg(F.array_sort(F.collect_set("reason")).alias("reasons")).join(row_counts, "document_id", "left").orderBy("document_id").collect()
-    retained = valid.join(reasons.select("document_id"), "document_id", "left_anti")
-    retained = materialize(retained, "retained")
+    made["exclusions"] = reasons.groupBy("document_id").agg(F.array_sort(F.collect_set("reason")).alias("reasons")).join(row_counts, "document_id", "left").select(
+        "document_id", "reasons", F.coalesce("n", F.lit(0)).alias("n"))
+    retained = made["retained"] = materialize(valid.join(reasons.select("document_id"), "document_id", "left_anti"), "retained")
 
-    # conversion of the retained rows that are verbal or classic
+    # conversion of the retained rows that are verbal or classic; all their documents are admitted
     verbal = retained.where("kind in ('v', 'classic')").select(F.concat_ws(" ", "document_id", "row").alias("line"))
-    parsed_records = materialize(propositions.parse_records(verbal), "parsed-records")
-    admitted_only = lambda d: F.when(F.lower(d).startswith("wsj_"), "excluded_source_wsj").when(~F.coalesce(d.isin(admitted), F.lit(False)), "excluded_source_not_pinned")
-    converted = propositions.conversion_rows(parsed_records, sentences, policy=admitted_only)
-    outcome = {r[0]: r[1] for r in converted.groupBy("reason_code").agg(F.count("*")).collect()}
-    n_verbal, n_retained = parsed_records.count(), retained.count()
+    made["records"] = materialize(propositions.parse_records(verbal), "parsed-records")
+    made["converted"] = propositions.conversion_rows(made["records"], sentences)
+    made["findings"] = structural_findings(made["records"].where("record_error is null"), sentences)
+    listed = presence.select("document_id")
+    family = listed.join(families, "document_id", "left") if families is not None else listed.withColumn("family", F.lit(None).cast("string"))
+    disposition = F.when(is_wsj(), "deny").when(F.col("admitted"), "diagnostic").otherwise("hold")
+    made["rights"] = family.join(admitted.withColumn("admitted", F.lit(True)), "document_id", "left").select(
+        "document_id", F.when(is_wsj(), "Wall Street Journal").otherwise(F.coalesce("family", F.lit("Unmapped"))).alias("family"), disposition.alias("disposition")
+    )
+    return made
+
+
+def gates_of(facts: Mapping, pinned: bool, excluded: int, retained: int, coverage: float) -> dict[str, bool]:
+    """Which gates are passed; the one of rights never is without a complete manifest."""
+    safe = not any(facts[k] for k in ("unsafe", "symlinks", "encrypted", "damaged", "duplicate_names", "casefold_collisions"))
+    return {"acquisition_pin": pinned, "archive_safety": safe, "g1_rights": False, "g2_join": retained > 0 and not excluded, "g3_annotation_fit": coverage >= THRESHOLD}
+
+
+def decision_of(gates: Mapping[str, bool]) -> str:
+    """The reason of the decision: the first gate that blocks, or that several fits do."""
+    open_fits = [g for g in ("g1_rights", "g2_join", "g3_annotation_fit") if not gates[g]]
+    if not gates["acquisition_pin"]:
+        return "archive_pin_mismatch"
+    if not gates["archive_safety"]:
+        return "archive_safety_check_failed"
+    if len(open_fits) > 1:
+        return "multiple_feasibility_gates_failed"
+    names = {"g1_rights": "rights_gate_incomplete", "g2_join": "retained_subset_join_gate_failed", "g3_annotation_fit": "gold_span_conversion_below_predeclared_threshold"}
+    return names[open_fits[0]] if open_fits else "all_preparation_gates_met"
+
+
+def listed(df: DataFrame, *order: str) -> list:
+    """The rows that a report names, in order; more than ``LISTED`` are an error, never cut."""
+    return parameter_rows(df.orderBy(*order), LISTED)
+
+
+def counts_of(df: DataFrame, key: str) -> dict:
+    """A small grouped count as a dict in order of its keys."""
+    return {r[0]: r[1] for r in listed(df.groupBy(key).agg(F.count("*").alias("n")), key)}
+
+
+def audit_archive(
+    spark: SparkSession,
+    path: str,
+    allowed: Sequence[str],
+    families: Mapping[str, str] | None = None,
+    pin: tuple[str, int, str] | None = None,
+    allow_unpinned: bool = False,
+) -> dict:
+    """The whole report. ``allowed`` are the admitted documents, ``families`` maps documents to source families,
+    ``pin`` is (file name, bytes, sha256) of the expected file; another file is an error unless allowed."""
+    name, size, digest = source.fingerprint(path)
+    match = source.check_pin(path, *pin) if pin else dict.fromkeys(("filename", "bytes", "sha256"), False)
+    pinned = all(match.values())
+    if not pinned and not allow_unpinned:
+        raise ValueError("the archive does not match the pinned file name, size and SHA-256")
+    manifest = spark.createDataFrame([(d,) for d in allowed], "document_id string")
+    mapped = spark.createDataFrame(list((families or {}).items()), "document_id string, family string")
+    t = audit_tables(source.read_archive(spark, path), manifest, mapped)
+    rows, presence, full, failed, retained, chosen = (t[k] for k in ("rows", "presence", "full", "failed", "retained", "chosen"))
+    facts = safety_facts(rows).first()
+    problems: dict[str, list[str]] = {}
+    for r in listed(problem_paths(rows), "path"):
+        problems.setdefault(r.problem, []).append(r.path)
+    bad = rows.where("not is_dir").agg(F.min_by("path", F.when(~F.col("crc_ok"), F.col("position")))).first()[0]
+    legal = listed(notices(rows), "path")
+
+    outcome = {r[0]: r[1] for r in t["converted"].groupBy("reason_code").agg(F.count("*")).collect()}
+    n_verbal, n_retained = t["records"].count(), retained.count()
     n_converted, failures = outcome.pop(None, 0), dict(sorted(outcome.items()))
     if n_converted + sum(failures.values()) != n_verbal:
         raise RuntimeError("conversion counts do not reconcile")
-    findings = structural_findings(parsed_records.where("record_error is null"), sentences).first().asDict()
+    findings = t["findings"].first().asDict()
     coverage = n_converted / n_verbal if n_verbal else 0.0
     ceiling = (n_verbal - findings["records_with_unlinked_unindexed_pro"]) / n_verbal if n_verbal else 0.0
 
+    excluded = listed(t["exclusions"], "document_id")
     n_docs = retained.select("document_id").distinct().count()
-    gates = {"acquisition_pin": pinned, "archive_safety": safe, "g1_rights": False, "g2_join": n_docs > 0 and not excluded, "g3_annotation_fit": coverage >= THRESHOLD}
+    gates = gates_of(facts, pinned, len(excluded), n_docs, coverage)
     blocking = [gate for gate, passed in gates.items() if not passed]
-    open_fits = [g for g in blocking if g in ("g1_rights", "g2_join", "g3_annotation_fit")]
-    decision = (
-        "archive_pin_mismatch" if not pinned else "archive_safety_check_failed" if not safe
-        else "multiple_feasibility_gates_failed" if len(open_fits) > 1 else "rights_gate_incomplete" if "g1_rights" in open_fits
-        else "retained_subset_join_gate_failed" if "g2_join" in open_fits else "gold_span_conversion_below_predeclared_threshold" if open_fits
-        else "all_preparation_gates_met"
-    )
-    union = presence.select("document_id", F.lower("document_id").startswith("wsj_").alias("wsj"), (F.size("layers") == 3).alias("all"), "conflict", "genres", *(f"{n}_genres" for n in PREFIXES))
+    union = presence.select("document_id", is_wsj().alias("wsj"), (F.size("layers") == 3).alias("all"), "conflict", "genres", *(f"{n}_genres" for n in PREFIXES))
     u = union.agg(F.count("*").alias("n"), F.count_if("wsj").alias("wsj"), F.count_if("all").alias("all"), F.count_if(F.expr("all and not wsj")).alias("all_other")).first()
-    family = families or {}
-    listed = [r[0] for r in presence.select("document_id").orderBy("document_id").collect()]
-    family_of = lambda d: "Wall Street Journal" if d.casefold().startswith("wsj_") else family.get(d, "Unmapped")
-    disposition = lambda d: "deny" if d.casefold().startswith("wsj_") else "diagnostic" if d in set(admitted) else "hold"
-    tally = lambda items: {k: items.count(k) for k in sorted(set(items))}
     fj = full.agg(F.count("*").alias("n"), F.count_if(F.expr("reason is null")).alias("j"), F.count_if(F.expr("not wsj")).alias("o"), F.count_if(F.expr("not wsj and reason is null")).alias("oj"), F.count_if(F.expr("n_rel <> 1")).alias("rel"),
                   F.count_if(F.expr("duplicate = 'exact'")).alias("ex"), F.count_if(F.expr("duplicate = 'conflicting'")).alias("co")).first()
-    scanned = scan.where("tree_error is null").agg(F.count("*").alias("d"), F.coalesce(F.sum("sentences"), F.lit(0)).alias("s")).first()
-    docs = lambda df: [r[0] for r in df.select("document_id").distinct().orderBy("document_id").collect()]
-    missing = {n: [] for n in PREFIXES}
-    for layer, document in missing_layers(layers).orderBy("layer", "document_id").collect():
+    scanned = t["scan"].where("tree_error is null").agg(F.count("*").alias("d"), F.coalesce(F.sum("sentences"), F.lit(0)).alias("s")).first()
+    docs = lambda df: [r[0] for r in listed(df.select("document_id").distinct(), "document_id")]
+    missing: dict[str, list[str]] = {n: [] for n in PREFIXES}
+    for layer, document in listed(missing_layers(t["layers"]), "layer", "document_id"):
         missing[layer].append(document)
     duplicates: dict[str, dict[str, list[str]]] = {n: {} for n in PREFIXES}
-    for layer, document, paths in layers.groupBy("layer", "document_id").agg(F.array_sort(F.collect_list(base_name(F.col("path")))).alias("p")).where("size(p) > 1").orderBy("layer", "document_id").collect():
-        duplicates[layer][document] = paths
-    summary = {r.layer: {k: r[k] for k in ("files", "canonical_documents", "spoken_files", "written_files", "wsj_files")} for r in layer_summary(layers).collect()}
+    for layer, document, names in listed(duplicate_names(t["layers"]), "layer", "document_id"):
+        duplicates[layer][document] = names
+    summary = {r.layer: {k: r[k] for k in ("files", "canonical_documents", "spoken_files", "written_files", "wsj_files")} for r in layer_summary(t["layers"]).collect()}
     empty_layer = dict.fromkeys(("files", "canonical_documents", "spoken_files", "written_files", "wsj_files"), 0)
     alternate = (
         non_blank_lines(chosen.where("alternates > 0"), "text", "document_id", "alternates").agg(F.coalesce(F.sum("alternates"), F.lit(0))).first()[0]
     )
+    denied = sorted({d for d in allowed if d.casefold().startswith("wsj_")})
     return {
         "acquisition": {"filename": name, "bytes": size, "sha256": digest, **{f"matches_pinned_{k}": v for k, v in match.items()}},
         "archive": {
-            "status": "pass" if safe else "fail", "entries": entries, "files": facts.files, "clean_files": facts.clean, "svn_files_ignored": facts.files - facts.clean,
-            "uncompressed_bytes": facts["size"] or 0, "compressed_member_bytes": facts.compressed or 0, "member_compression_ratio": facts["size"] / facts.compressed if facts.compressed else None,
-            "crc_error_member": facts.bad, "unsafe_paths": facts.unsafe, "symlinks": facts.symlinks, "encrypted_files": facts.encrypted, "duplicate_entry_names": entries - names,
-            "casefold_name_collisions": entries - folded, "readme_present": bool(readme), "archive_level_legal_notice_files": [r.path for r in notices if r.notice == "archive"],
-            "frame_legal_notice_files": [r.path for r in notices if r.notice == "frame"], "suffix_counts": counts_of(suffix.select(F.when(F.col("s") == "", "<none>").otherwise(F.col("s")).alias("s")), "s"),
+            "status": "pass" if gates["archive_safety"] else "fail", "entries": facts.entries, "files": facts.files, "clean_files": facts.clean_files, "svn_files_ignored": facts.files - facts.clean_files,
+            "uncompressed_bytes": facts.uncompressed_bytes, "compressed_member_bytes": facts.compressed_bytes, "member_compression_ratio": facts.uncompressed_bytes / facts.compressed_bytes if facts.compressed_bytes else None,
+            "crc_error_member": bad, "unsafe_paths": problems.get("unsafe", []), "symlinks": problems.get("symlink", []), "encrypted_files": problems.get("encrypted", []), "duplicate_entry_names": facts.duplicate_names,
+            "casefold_name_collisions": facts.casefold_collisions, "readme_present": facts.readme_present, "archive_level_legal_notice_files": [r.path for r in legal if r.notice == "archive"],
+            "frame_legal_notice_files": [r.path for r in legal if r.notice == "frame"], "suffix_counts": {r.suffix: r.files for r in listed(suffix_counts(rows), "suffix")},
         },
         "layers": {n: summary.get(n, empty_layer) for n in PREFIXES},
         "join": {
             "canonical_union_documents": u.n, "all_three_layer_documents": u["all"], "all_three_layer_non_wsj_documents": u.all_other, "wsj_union_documents": u.wsj, "missing_by_layer": missing,
-            "invalid_genre_paths": [r[0] for r in rows.where("layer is not null and genre is null").select("path").orderBy("path").collect()],
-            "cross_layer_genre_conflicts": {r.document_id: {n: r[f"{n}_genres"] for n in PREFIXES} for r in union.where("conflict").orderBy("document_id").collect()},
+            "invalid_genre_paths": problems.get("invalid_genre", []),
+            "cross_layer_genre_conflicts": {r.document_id: {n: r[f"{n}_genres"] for n in PREFIXES} for r in listed(union.where("conflict"), "document_id")},
             "canonical_document_genre_counts": counts_of(union.where("not conflict").select(F.element_at("genres", 1).alias("g")), "g"),
             "duplicate_canonical_paths": duplicates, "identical_alternate_prop_rows": alternate, "ambiguous_prop_documents": docs(chosen.where("ambiguous")),
-            "physical_prop_rows": physical.count(), "physical_prop_dialects": counts_of(physical, "dialect"), "canonical_prop_rows": fj.n, "canonical_prop_dialects": counts_of(full, "dialect"),
-            "ptb_structurally_valid_documents": scanned.d, "ptb_structural_failure_documents": {r.document_id: r.tree_error for r in scan.where("tree_error is not null").orderBy("document_id").collect()},
+            "physical_prop_rows": t["physical"].count(), "physical_prop_dialects": counts_of(t["physical"], "dialect"), "canonical_prop_rows": fj.n, "canonical_prop_dialects": counts_of(full, "dialect"),
+            "ptb_structurally_valid_documents": scanned.d, "ptb_structural_failure_documents": {r.document_id: r.tree_error for r in listed(t["scan"].where("tree_error is not null"), "document_id")},
             "ptb_structurally_valid_sentences": scanned.s, "full_joined_prop_rows": fj.j, "full_join_failures": counts_of(full.where("reason is not null"), "reason"), "non_wsj_canonical_prop_rows": fj.o,
             "non_wsj_fully_joined_prop_rows": fj.oj, "rows_without_exactly_one_rel": fj.rel, "exact_duplicate_predicate_instances": fj.ex, "conflicting_duplicate_predicate_instances": fj.co,
             "conflicting_duplicate_predicate_documents": docs(full.where("duplicate = 'conflicting'")),
         },
         "rights": {
-            "status": "incomplete_provisional_diagnostic_manifest", "requested_allowed_documents": len(set(allowed)), "effective_allowed_documents": len(admitted), "denied_override_documents": denied,
-            "joined_allowed_documents": complete.count(), "source_family_union_counts": tally([family_of(d) for d in listed]), "disposition_union_counts": tally([disposition(d) for d in listed]), "wsj_policy": "deny_all_layers",
+            "status": "incomplete_provisional_diagnostic_manifest", "requested_allowed_documents": len(set(allowed)), "effective_allowed_documents": len(set(allowed)) - len(denied), "denied_override_documents": denied,
+            "joined_allowed_documents": t["complete"].count(), "source_family_union_counts": counts_of(t["rights"], "family"), "disposition_union_counts": counts_of(t["rights"], "disposition"), "wsj_policy": "deny_all_layers",
         },
         "g2": {
-            "status": "pass" if gates["g2_join"] else "fail", "candidate_joined_documents": complete.count(), "retained_documents": n_docs, "candidate_rows_after_tree_parse": valid.count(), "retained_rows": n_retained,
-            "exclusions": {r.document_id: {"reasons": r.reasons, "canonical_prop_rows": r.n or 0} for r in excluded}, "excluded_documents": len(excluded), "excluded_canonical_prop_rows": sum(r.n or 0 for r in excluded),
-            "tree_failure_documents": {r.document_id: r.code for r in broken.orderBy("document_id").collect()}, "tree_failure_reasons": counts_of(broken, "code"), "ambiguous_prop_documents": docs(eligible.where("ambiguous is not null")),
+            "status": "pass" if gates["g2_join"] else "fail", "candidate_joined_documents": t["complete"].count(), "retained_documents": n_docs, "candidate_rows_after_tree_parse": t["candidates"].count(), "retained_rows": n_retained,
+            "exclusions": {r.document_id: {"reasons": r.reasons, "canonical_prop_rows": r.n} for r in excluded}, "excluded_documents": len(excluded), "excluded_canonical_prop_rows": sum(r.n for r in excluded),
+            "tree_failure_documents": {r.document_id: r.code for r in listed(t["broken"], "document_id")}, "tree_failure_reasons": counts_of(t["broken"], "code"), "ambiguous_prop_documents": docs(t["eligible"].where("ambiguous is not null")),
             "row_failures": counts_of(failed, "reason"), "exact_duplicate_predicate_instances": failed.where("reason = 'exact_duplicate_predicate'").count(),
             "conflicting_duplicate_predicate_instances": failed.where("reason = 'conflicting_duplicate_predicate'").count(),
         },
@@ -421,5 +500,5 @@ def audit_archive(
             "conversion_failures": failures, "conversion_coverage": coverage, "annotation_inventory": {r.item: r.n for r in annotation_inventory(retained).orderBy("item").collect()},
             "structural_findings": {k: v for k, v in sorted(findings.items()) if v}, "optimistic_exact_span_ceiling": ceiling,
         },
-        "decision": {"overall": "no_go" if blocking else "go", "reason": decision, "blocking_gates": blocking},
+        "decision": {"overall": "no_go" if blocking else "go", "reason": decision_of(gates), "blocking_gates": blocking},
     }

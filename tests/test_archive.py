@@ -58,3 +58,30 @@ def test_member_ranges_and_prefixes(spark, tmp_path):
     assert len(rows) == 3 and [r.content is not None for r in rows] == [False, False, True]
     assert archive.read_archive(spark, path, content=False).where("content is not null").count() == 0
     assert archive.check_pin(path, "a.zip", 1, "x") == {"filename": True, "bytes": False, "sha256": False}
+
+
+def test_negative_members(spark, tmp_path):
+    """Links, encrypted and damaged members, collisions, bytes that are no archive, and any Spark path."""
+    path = tmp_path / "n.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for name, attributes, flag, damage in (("a", 0, 0, 0), ("A", 0, 0, 0), ("link", 0o120777 << 16, 0, 0), ("secret", 0, 1, 0), ("bad", 0, 0, 1), ("x/../y", 0, 0, 0), ("d/", 0, 0, 0)):
+            info = zipfile.ZipInfo(name)
+            z.writestr(info, "x" if name != "d/" else "")
+            info.external_attr, info.flag_bits, info.CRC = attributes, info.flag_bits | flag, info.CRC ^ damage
+    (tmp_path / "no.zip").write_bytes(b"not an archive")
+    for rows in (archive.read_archive(spark, str(path)), archive.read_archives(spark, str(path))):
+        marked = audit.classified(rows)
+        assert {tuple(r) for r in audit.problem_paths(marked).collect()} == {("symlink", "link"), ("encrypted", "secret"), ("damaged", "bad"), ("unsafe", "x/../y")}
+        facts = audit.safety_facts(marked).first()
+        assert (facts.entries, facts.files, facts.casefold_collisions, facts.duplicate_names, facts.damaged) == (7, 6, 1, 0, 1)
+        assert {r.path: r.content for r in rows.collect()} == {"a": b"x", "A": b"x", "link": b"x", "secret": None, "bad": None, "x/../y": b"x", "d/": None}
+    assert archive.read_archives(spark, str(tmp_path / "no.zip")).collect()[0].path is None
+    found = archive.fingerprints(spark, str(path)).first()
+    assert (found.name, found.bytes, found.sha256) == archive.fingerprint(str(path))
+
+
+def test_paths_of_any_length(spark):
+    path = "Propbank/MASC1_textfiles/written/" + "x" * 20_000 + ".txt"
+    rows = spark.createDataFrame([(path, False, 0, 0)], "path string, is_dir boolean, flags int, external_attr bigint")
+    found = audit.classified(rows).first()
+    assert found.genre == "written" and found.document_id == "x" * 20_000

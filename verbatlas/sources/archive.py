@@ -1,8 +1,9 @@
 """ZIP archives as tables of members, and text decoding.
 
-The reader plans partitions by member ranges of like compressed size, so a large archive, or a folder of many, is
-read by many tasks; members that do not match the wanted prefixes are never decompressed. Archives must lie where
-all executors can open them.
+``read_archive`` plans partitions by member ranges of like compressed size, so a large archive, or a folder of many, is
+read by many tasks; members that do not match the wanted prefixes are never decompressed. Such archives must lie where
+all executors can open them as files. ``read_archives`` takes any path that Spark reads (a bucket, HDFS), one archive in
+a task; ``fingerprints`` does so too.
 
 Defined results: directories are rows without content; an encrypted member has no content and no checksum verdict; a
 damaged member has ``crc_ok`` false and no content; undecodable bytes have a null text and the encoding ``none``;
@@ -13,8 +14,10 @@ from __future__ import annotations
 
 import glob
 import hashlib
+import io
 import os
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,6 +42,19 @@ class MemberRange(InputPartition):
         super().__init__((archive, first, last))
 
 
+def member_rows(archive: str, opened: zipfile.ZipFile, first: int, last: int | None, with_content: bool, prefixes: tuple[str, ...]) -> Iterator[tuple]:
+    """Rows of ``SCHEMA`` for the members ``first`` to ``last`` of an open archive."""
+    for i, info in enumerate(opened.infolist()[first:last], first):
+        content, fine = None, None
+        wanted = not prefixes or info.filename.startswith(prefixes)
+        if not info.is_dir() and not info.flag_bits & 1 and with_content and wanted:
+            try:
+                content, fine = opened.read(info), True
+            except (zipfile.BadZipFile, zlib.error, OSError, EOFError, NotImplementedError):
+                fine = False
+        yield (archive, i, info.filename, info.is_dir(), info.file_size, info.compress_size, info.flag_bits, info.external_attr, fine, content)
+
+
 class ZipReader(DataSourceReader):
     def __init__(self, options: dict):
         self.pattern = options["path"]
@@ -63,15 +79,7 @@ class ZipReader(DataSourceReader):
     def read(self, partition: MemberRange) -> Iterator[tuple]:
         archive, first, last = partition.value
         with zipfile.ZipFile(archive) as opened:
-            for i, info in enumerate(opened.infolist()[first:last], first):
-                content, fine = None, None
-                wanted = not self.prefixes or info.filename.startswith(self.prefixes)
-                if not info.is_dir() and not info.flag_bits & 1 and self.content and wanted:
-                    try:
-                        content, fine = opened.read(info), True
-                    except (zipfile.BadZipFile, OSError, EOFError, NotImplementedError):
-                        fine = False
-                yield (archive, i, info.filename, info.is_dir(), info.file_size, info.compress_size, info.flag_bits, info.external_attr, fine, content)
+            yield from member_rows(archive, opened, first, last, self.content, self.prefixes)
 
 
 class ZipMembers(DataSource):
@@ -95,6 +103,46 @@ def read_archive(spark: SparkSession, path: str, content: bool = True, prefixes:
     return spark.read.format("zip_members").option("content", str(content).lower()).option("prefixes", "|".join(prefixes)).load(path)
 
 
+def members_of(files: DataFrame, prefixes: tuple[str, ...] = ()) -> DataFrame:
+    """The members of archives given as ``(path, content)``; a content that is no archive has one row without path."""
+    ship(files.sparkSession)
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    types = (pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows, size = [], 0
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content or b"")) as opened:
+                        for row in member_rows(path, opened, 0, None, True, prefixes):
+                            rows.append(row)
+                            size += len(row[-1] or b"")
+                            if size >= PARTITION_BYTES:
+                                yield batch_of(rows)
+                                rows, size = [], 0
+                except zipfile.BadZipFile:
+                    rows = [(path, None, None, False, None, None, 0, 0, False, None)]
+                if rows:
+                    yield batch_of(rows)
+
+    return files.select("path", "content").mapInArrow(kernel, SCHEMA)
+
+
+def read_archives(spark: SparkSession, path: str, prefixes: tuple[str, ...] = ()) -> DataFrame:
+    """The members of the archives at any path that Spark reads; each at most 2 GB, read by one task."""
+    return members_of(spark.read.format("binaryFile").load(path), prefixes)
+
+
+def fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, name, bytes, sha256)`` of files at any path that Spark reads."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 def fingerprint(path: str) -> tuple[str, int, str]:
     """File name, bytes and SHA-256 of a file, read in parts."""
     digest = hashlib.sha256()

@@ -78,3 +78,31 @@ def test_heavy_keys(spark):
     rows = skewed()
     expected = {(f, v) for i, f in enumerate("kc") for v, n in Counter(r[i] for r in rows).items() if v is not None and n >= 0.12 * len(rows)}
     assert found == expected and skew.heavy_keys(df.limit(0), ["k"], 0.05).count() == 0
+
+
+def test_skipped_lines_are_records_of_their_own(spark):
+    text = "\n".join([WORDS, WORDS.replace("Ann", '"Ann'), "loose", "", ' "mail-2:0:1" , mail-2 ,' + WORDS.split(",", 2)[2], "mail-3:0:1, mail-3 ," + WORDS.split(",", 2)[2]])
+    found = parse(spark, text, lines=True)
+    assert [(r.reason, r.raw) for r in found[1:4]] == [("quoting", WORDS.replace("Ann", '"Ann')), ("quoting", "loose"), ("quoting", "")]
+    assert [r.reason for r in found] == [None, "quoting", "quoting", "quoting", "quoting", None] and found[5].document_id == "mail-3"
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_files_are_cut_at_record_starts(spark, tmp_path, seed, monkeypatch):
+    """Blocks of any size give what one pass over the whole file gives."""
+    rng = random.Random(seed)
+    monkeypatch.setattr(records, "CHUNK", 100)
+    kinds = [WORDS, WORDS.replace("Ann", '"Ann'), WORDS.replace("Ann sent", '"Ann\n\nsent').replace(" .", ' ."'), "loose", "", 'x,"y', WORDS.replace("Ann sent", '"Ann\nsent'), WORDS.replace("it", "it\r")]
+    text = "\n".join(rng.choice(kinds).replace("mail-1", f"mail-{i}") for i in range(150)) + "\n"
+    (tmp_path / "r.csv").write_bytes(text.encode())
+    whole = [(r.reason, r.raw, r.document_id) for r in parse(spark, text, lines=True)]
+    for size in (137, 1000, 1 << 20):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            rows = records.read_record_files(spark, str(tmp_path / "r.csv")).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert Counter((r.reason, r.raw, r.document_id) for r in rows) == Counter(whole)
+        assert len({r.block for r in rows}) > 1 or size > 5000

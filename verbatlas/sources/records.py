@@ -7,9 +7,10 @@ A small recursive-descent parser reads the grammar
 
 and returns for every record either its fields or the first error with its place. After a broken quote the
 parser resumes at the next validated record start, a line whose first field is a record id
-(``document:number:number``) and whose second field is that same document, so one broken quote costs one
-record and never the rest of the file; a quoted field that runs over such a start is a broken one. Where the delivery already has one record per row, the row is the
-record, and line ends outside quotes are ordinary characters.
+(``document:number:number``) and whose second field is that same document, quoted or not, so one broken quote costs one
+record and never the rest of the file; a quoted field that runs over such a start is a broken one. Every line that is
+skipped on the way there is a record of its own with the reason ``quoting``, so nothing is lost unseen. Where the
+delivery already has one record per row, the row is the record, and line ends outside quotes are ordinary characters.
 
 Valid fields become a typed record; otherwise the first reason that applies is kept: ``quoting``, ``columns``,
 ``predicate_index``, ``predicate_roleset``.
@@ -27,15 +28,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verbatlas.session import ship
+from verbatlas.session import materialize, ship
 
 FIELDS = ("example_id", "document_id", "sentence_id", "words", "predicate_index", "tags", "predicate_roleset")
 
-#: A record start: at a line start an id of document, number and number, then the same document.
-ANCHOR = re.compile(r'(?m)^(?P<q>"?)(?P<doc>[^\s",:]+):\d+:\d+(?P=q),(?P=q)(?P=doc)(?P=q),')
+#: A record start: at a line start an id of document, number and number, then the same document; each quoted or with blanks around.
+ANCHOR = re.compile(r'(?m)^[ \t]*(?P<q>"?)(?P<doc>[^\s",:]+):\d+:\d+(?P=q)[ \t]*,[ \t]*(?P<r>"?)(?P=doc)(?P=r)[ \t]*,')
+
+#: Characters of a text that is cut from a file.
+CHUNK = 1 << 20
 
 DIGITS = re.compile(r"[0-9]+")
 ROLESET = re.compile(r"(?:[^\W\d_]|[_-])+\.[0-9][0-9]")
@@ -64,9 +68,14 @@ class RecordParser:
         at = 0
         while True:
             record = self.record(at)
-            if record.error is not None:
-                record.end = self.resume(record)
-            yield record
+            if record.error is None:
+                yield record
+            else:
+                upto = self.resume(record)
+                record.end = self.line_end(record, upto)
+                yield record
+                yield from self.skipped(record.end + 1, upto)
+                record.end = upto
             at = record.end + 1
             if at > len(self.text) or (self.lines and at == len(self.text)):
                 return
@@ -104,7 +113,7 @@ class RecordParser:
                 break
             close += 1
         end = close + 1
-        if self.lines and "\n" in text[at:close] and ANCHOR.search(text, at + 1, close):
+        if self.lines and "\n" in text[at:close] and self.starts_within(at, close):
             found.error_at, found.error = at, "a quoted field without end before the next record"
             return end
         if end < len(text) and text[end] != "," and not (self.lines and text[end] == "\n"):
@@ -113,12 +122,32 @@ class RecordParser:
         found.places.append(at)
         return end
 
+    def starts_within(self, at: int, close: int) -> bool:
+        """Whether a record starts behind ``at`` in a line that begins before ``close``."""
+        end = self.text.find("\n", close)
+        return ANCHOR.search(self.text, at + 1, end if end >= 0 else len(self.text)) is not None
+
     def resume(self, broken: ParsedRecord) -> int:
         """The end of a broken record: before the next validated record start, else the end of the text."""
         if not self.lines:
             return len(self.text)
         anchor = ANCHOR.search(self.text, broken.start + 1)
-        return anchor.start() - 1 if anchor else len(self.text)
+        return anchor.start() - 1 if anchor else len(self.text) - self.text.endswith("\n")
+
+
+    def line_end(self, broken: ParsedRecord, upto: int) -> int:
+        """The end of the line in which a broken record breaks."""
+        end = self.text.find("\n", max(broken.error_at or 0, broken.start)) if self.lines else -1
+        return upto if end < 0 or end > upto else end
+
+    def skipped(self, start: int, upto: int) -> Iterator[ParsedRecord]:
+        """The lines between a broken record and the next record start."""
+        at = start
+        while at <= upto:
+            end = self.text.find("\n", at, upto)
+            end = upto if end < 0 else end
+            yield ParsedRecord(at, end, [], [], at, "a line between a broken record and the next record start")
+            at = end + 1
 
 
 def parts(value: str) -> list[str]:
@@ -192,7 +221,64 @@ def split_good_and_bad(parsed: DataFrame, id_col: str = "line_id") -> tuple[Data
     return good, parsed.where("reason is not null").select(id_col, "record_no", "reason", "error_at", "error", "raw")
 
 
+def anchored_texts(lines: DataFrame, most: int = CHUNK) -> DataFrame:
+    """``(file, block, part, text)``: texts that begin at record starts, from the lines of file blocks.
+
+    ``lines`` is ``(file, block, line)``, the lines of a block one after the other in one partition. Every record start is
+    where a record begins, so a block can be cut there into texts of about ``most`` characters. Only what stands before
+    the first record start of a block and its last record may belong together with other blocks; these edges, a few
+    records for each block, are put together by file.
+    """
+    ship(lines.sparkSession)
+    names = ["file", "block", "part", "edge", "text"]
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, part, text, size, opened = None, 0, [], 0, False
+
+        def piece(edge: str | None) -> pa.RecordBatch:
+            nonlocal part, text, size
+            made = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*key, part, edge, "".join(x + "\n" for x in text)), (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string()))], names)
+            part, text, size = part + 1, [], 0
+            return made
+
+        last: list[str] = []  # the record that is open, as the text before it may be sent on
+        for batch in batches:
+            for file, block, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if (file, block) != key:
+                    if opened and text:
+                        yield piece(None)
+                    if last:
+                        text = last
+                        yield piece("tail" if opened else "head")
+                    key, part, text, size, opened, last = (file, block), 0, [], 0, False, []
+                if ANCHOR.match(line):
+                    if opened:
+                        text += last
+                        size += sum(map(len, last))
+                        if size >= most:
+                            yield piece(None)
+                    elif last:
+                        text = last
+                        yield piece("head")
+                    opened, last = True, []
+                last.append(line)
+        if opened and text:
+            yield piece(None)
+        if last:
+            text = last
+            yield piece("tail" if opened else "head")
+
+    pieces = materialize(lines.select("file", "block", "line").mapInArrow(kernel, "file string, block long, part int, edge string, text string"), "record-texts")
+    inside = pieces.where("edge is null").select("file", "block", "part", "text")
+    order = Window.partitionBy("file").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, 0)
+    edges = pieces.where("edge is not null").withColumn("run", F.sum((F.col("edge") == "tail").cast("int")).over(order))
+    joined = edges.groupBy("file", "run").agg(F.array_sort(F.collect_list(F.struct("block", "part", "text"))).alias("p"))
+    return inside.unionByName(joined.select("file", F.col("p")[0]["block"].alias("block"), F.col("p")[0]["part"].alias("part"), F.array_join("p.text", "").alias("text")))
+
+
 def read_record_files(spark: SparkSession, path: str) -> DataFrame:
-    """Records of whole text files, each file one text of many records (quoted fields may hold line ends)."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
-    return parse_records(files, "line", "file", lines=True)
+    """Records of text files that hold many (quoted fields may hold line ends): ``file``, the ``block`` and ``part`` of
+    the file, and ``record_no`` in it. Large files are read by many tasks and cut at record starts."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    texts = anchored_texts(lines).select(F.struct("file", "block", "part").alias("place"), F.col("text").alias("line"))
+    return parse_records(texts, "line", "place", lines=True).select("place.*", "*").drop("place")

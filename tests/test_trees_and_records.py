@@ -136,8 +136,29 @@ def test_alignment(spark):
     table = {t: i for i, t in enumerate(["O", "B-ARG0", "B-V", "I-V", "B-ARG1", "I-ARG1"])}
     found = align.align_labels(spark.createDataFrame(rows, schema), table).collect()
     assert found[0].labels == [-100, 1, 2, 3, 4, 5, -100] and found[0].token_type_ids == [0, 0, 1, 0, 0, 0, 0] and found[0].attention_mask == [1] * 7
-    assert "omitted" in found[1].align_error and "omitted" in found[2].align_error and "same length" in found[3].align_error
-    assert align.align_labels(spark.createDataFrame(rows[:1], schema), {"O": 0}).first().align_error == "label mapping is missing an aligned tag"
+    assert [r.align_error for r in found[1:4]] == ["align_words_omitted", "align_words_omitted", "align_ids_mismatch"]
+    assert align.align_labels(spark.createDataFrame(rows[:1], schema), {"O": 0}).first().align_error == "align_label_unmapped"
     words = spark.createDataFrame([(["shipping", "it"], ["B-V", "O"], 0)], "words array<string>, tags array<string>, predicate_index int")
     row = align.model_inputs(align.align_labels(align.tokenize_words(words, fixed_pieces), {"O": 0, "B-V": 1, "I-V": 2})).first()
     assert row.labels == [-100, 1, 2, 0, -100] and row.token_type_ids == [0, 1, 0, 0, 0]
+
+
+def one_label_model():
+    """A model for the tests: the label of a piece is its id modulo the number of labels."""
+    return lambda ids, mask, kinds: [[[float(i % 3 == k) for k in range(3)] for i in row] for row in ids]
+
+
+def test_prediction_and_adapters(spark):
+    rows = [("a", [5, 4, 4, 3, 5], [None, 0, 0, 1, None], [0] * 5, None), ("b", [1], [None], [0], "align_words_omitted")]
+    aligned = spark.createDataFrame(rows, "id string, input_ids array<int>, word_ids array<int>, token_type_ids array<int>, align_error string").selectExpr("*", "input_ids as attention_mask")
+    found = {r.id: (r.tags, r.predict_error) for r in align.predict_tags(aligned, one_label_model, ["O", "B-V", "I-V"], "id").collect()}
+    assert found == {"a": (["B-V", "O"], None), "b": (None, "align_words_omitted")}
+    wrong = align.predict_tags(aligned.where("id = 'a'"), one_label_model, ["O", "B-V"], "id").first()
+    assert (wrong.tags, wrong.predict_error) == (None, "predict_shape_invalid")
+
+    class Fast(dict):
+        def word_ids(self):
+            return [None, 0, None]
+
+    assert align.word_numbers(Fast(input_ids=[[1, 2, 3]])) == ([1, 2, 3], [None, 0, None])
+    assert align.word_numbers({"input_ids": [1, 2], "word_ids": [0, 1]}) == ([1, 2], [0, 1])

@@ -47,16 +47,20 @@ def duplicate_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("duplicate is not null").groupBy("user_id", "duplicate").agg(F.count("*").alias("rows"))
 
 
+#: Rows as archives have them, typed and classic, good and bad, without their two indexes.
+ROW_ENDS = (
+    "gold go-v go.01 ----- 0:1-ARG0 1:0-rel", "gold go-n go.01 ----- 0:1-ARG0 1:0-rel", "gold go.01 vp--a 0:1-ARG0 1:0,2:0-rel 3:1*4:0-ARG1", "gold go-a go.01 ----- 0:1-ARG0 bad", "gold go-v go.01 ----- 1:0-rel 0:1*2:2-LINK-PCR 2:2-R-ARG0",
+    "gold go.01 vp--a 0:1-C-ARG0", "gold go-v go.01 -----", "gold go-v go01 ----- 1:0-rel", "gold go.01 vp-a 1:0-rel", "gold go-v go.01 ----- 1:0-rel 2:0-rel", "gold go.01 vp--a", "gold go-v go.01 --- 1:0-rel", "gold go-x go.01 ----- 1:0-rel",
+    "gold go-v go.01 ----- 0:1;2:0-ARG0 1:0;3:0-rel 4:0,5:0*6:0-C-ARG0", "gold", "gold go-v go.01 ----- 1:0-rel 2:0-LINK-SLC 3:0*4:0-LINK-SLC",
+)
+
+
 def archive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows as an archive has them, made from events: typed and classic, with and without errors."""
+    """Rows as an archive has them, made from events."""
     n = F.col("event_id")
-    head = F.concat((n % 7).cast("string"), F.lit(" "), (n % 5).cast("string"), F.lit(" gold "))
-    typed = F.concat(F.lit("go-"), F.element_at(F.array(*map(F.lit, "anv")), (n % 3 + 1).cast("int")), F.lit(" go.01 -----"))
-    rest = F.when(F.col("event_type") == "click", F.concat(typed, F.lit(" 0:1-ARG0 1:0-rel"))).when(
-        F.col("event_type") == "view", "go.01 vp--a 0:1-ARG0 1:0,2:0-rel 3:1*4:0-ARG1").when(
-        F.col("event_type") == "error", F.concat(typed, F.lit(" 0:1-ARG0 bad"))).when(
-        F.col("event_type") == "signup", F.concat(typed, F.lit(" 1:0-rel 0:1*2:2-LINK-PCR 2:2-R-ARG0"))).otherwise("go.01 vp--a 0:1-C-ARG0")
-    return read(spark, sf_dir, "events").select("event_id", F.concat(head, rest).alias("row"))
+    head = F.when(n % 17 == 3, "x 1").when(n % 17 == 5, "-1 1").otherwise(F.concat_ws(" ", (n % 7).cast("string"), (n % 5).cast("string")))
+    end = F.element_at(F.array(*map(F.lit, ROW_ENDS)), (n % len(ROW_ENDS)).cast("int") + 1)
+    return read(spark, sf_dir, "events").select("event_id", F.concat_ws(" ", head, end).alias("row"))
 
 
 def local_record_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +83,18 @@ l AS (SELECT *, CASE WHEN string_split(document_id, '-')[1] IN ('call', 'minutes
   FROM d WHERE document_id IS NOT NULL)"""
 
 
+LABEL = "[0-9]+:[0-9]+(?:[,;*][0-9]+:[0-9]+)*-(.+)"
+
+#: Archive rows taken apart: fields, type, dialect and label fields.
+ARCHIVE_ROWS = f"""
+WITH a AS (SELECT event_id, CASE event_id % 17 WHEN 3 THEN 'x 1' WHEN 5 THEN '-1 1' ELSE (event_id % 7) || ' ' || (event_id % 5) END || ' ' || [{", ".join(f"'{e}'" for e in ROW_ENDS)}][event_id % {len(ROW_ENDS)} + 1] AS row FROM events),
+f0 AS (SELECT *, string_split(row, ' ') AS f FROM a),
+f1 AS (SELECT *, coalesce(f[6] = '-----', false) AS dashes, coalesce(regexp_full_match(f[4], '.+-[anv]'), false) AS typed, try_cast(f[1] AS INT) AS si, try_cast(f[2] AS INT) AS pi FROM f0),
+f2 AS (SELECT *, if(dashes AND typed, right(f[4], 1), 'classic') AS kind, len(f) >= 7 AND typed AND coalesce(contains(f[5], '.'), false) AND dashes AS modern, len(f) >= 6 AND coalesce(contains(f[4], '.'), false) AND coalesce(length(f[5]), 0) = 5 AS classic FROM f1),
+r AS (SELECT *, if(modern, f[7:], f[6:]) AS labels FROM f2)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    kinds = "CASE event_type WHEN 'view' THEN 'classic' WHEN 'purchase' THEN 'classic' ELSE substr('anv', (event_id % 3 + 1)::INT, 1) END"
     return {
         "layer_join": f"""{LAYERS} SELECT document_id, string_agg(DISTINCT genre, '+' ORDER BY genre) AS genres, count(DISTINCT genre) > 1 AS conflict
 FROM l GROUP BY document_id HAVING count(DISTINCT layer) = 3""",
@@ -92,16 +106,19 @@ count(*) FILTER (WHERE lower(document_id) LIKE 'wsj\\_%' ESCAPE '\\')::BIGINT AS
         "duplicate_predicates": """
 WITH e AS (SELECT *, first_value(event_type) OVER w AS f, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id, event_id % 10 ORDER BY event_id))
 SELECT user_id, CASE WHEN f = event_type THEN 'exact' ELSE 'conflicting' END AS duplicate, count(*)::BIGINT AS rows FROM e WHERE n > 1 AND user_id IS NOT NULL GROUP BY ALL""",
-        "local_record_reasons": f"""
-SELECT {kinds} AS kind, CASE WHEN event_type IN ('view', 'purchase') THEN 'classic' ELSE 'modern' END AS dialect,
-  CASE event_type WHEN 'error' THEN 'record_label_field_invalid' WHEN 'purchase' THEN 'record_rel_count_invalid' END AS row_error, count(*)::BIGINT AS rows,
-  sum(CASE WHEN event_type IN ('error', 'purchase') THEN 0 ELSE 1 END)::BIGINT AS rels FROM events GROUP BY ALL""",
-        "annotation_inventory": f"""
-WITH e AS (SELECT event_type AS t, {kinds} AS kind, count(*)::BIGINT AS n FROM events GROUP BY ALL),
-i AS (SELECT unnest(list_concat(
-    CASE WHEN t IN ('view', 'purchase') THEN ['dialect_classic'] ELSE ['dialect_modern', 'predicate_type_' || kind] END,
-    CASE t WHEN 'view' THEN ['pointer_fields_comma', 'multi_pointer_predicates', 'pointer_fields_star', 'records_comma+star']
-      WHEN 'signup' THEN ['link_LINK-PCR', 'pointer_fields_star', 'reference_labels', 'records_star']
-      WHEN 'error' THEN ['unparsed_label_fields', 'records_simple'] WHEN 'purchase' THEN ['continuation_labels', 'records_simple'] ELSE ['records_simple'] END)) AS item, n FROM e)
-SELECT item, sum(n)::BIGINT AS n FROM i GROUP BY item""",
+        "local_record_reasons": f"""{ARCHIVE_ROWS},
+g AS (SELECT *, len(list_filter(if(kind = 'classic', f[6:], f[7:]), lambda x: regexp_full_match(x, '{LABEL}') AND regexp_extract(x, '^{LABEL}$', 1) = 'rel')) AS n_rel,
+  CASE WHEN si IS NULL OR pi IS NULL THEN 'record_fixed_fields_invalid' WHEN si < 0 OR pi < 0 THEN 'record_index_negative' WHEN NOT modern AND NOT classic THEN 'record_fixed_fields_invalid'
+    WHEN len(labels) = 0 OR len(list_filter(labels, lambda x: NOT regexp_full_match(x, '{LABEL}'))) > 0 THEN 'record_label_field_invalid'
+    WHEN len(list_filter(labels, lambda x: regexp_extract(x, '^{LABEL}$', 1) = 'rel')) <> 1 THEN 'record_rel_count_invalid' END AS row_error FROM r)
+SELECT kind, if(kind = 'classic', 'classic', 'modern') AS dialect, row_error, count(*)::BIGINT AS rows, sum(n_rel)::BIGINT AS rels FROM g GROUP BY ALL""",
+        "annotation_inventory": f"""{ARCHIVE_ROWS},
+x AS (SELECT event_id, ok, p, l FROM (SELECT event_id, regexp_full_match(t, '{LABEL}') AS ok, regexp_extract(t, '^([0-9:,;*]+)-', 1) AS p, regexp_extract(t, '^{LABEL}$', 1) AS l FROM (SELECT event_id, unnest(if(dashes, f[7:], f[6:])) AS t FROM r))),
+used AS (SELECT event_id, bool_or(ok AND contains(p, ',')) AS comma, bool_or(ok AND contains(p, ';')) AS semicolon, bool_or(ok AND contains(p, '*')) AS star FROM x GROUP BY event_id),
+i AS (SELECT if(dashes, 'dialect_modern', 'dialect_classic') AS item FROM r UNION ALL SELECT 'predicate_type_' || kind FROM r WHERE dashes
+  UNION ALL SELECT 'records_' || coalesce(nullif(concat_ws('+', CASE WHEN comma THEN 'comma' END, CASE WHEN semicolon THEN 'semicolon' END, CASE WHEN star THEN 'star' END), ''), 'simple') FROM r LEFT JOIN used USING (event_id)
+  UNION ALL SELECT CASE WHEN NOT ok THEN 'unparsed_label_fields' WHEN starts_with(l, 'LINK-') THEN 'link_' || l WHEN starts_with(l, 'C-') THEN 'continuation_labels' WHEN starts_with(l, 'R-') THEN 'reference_labels' END FROM x
+  UNION ALL SELECT 'pointer_fields_comma' FROM x WHERE ok AND contains(p, ',') UNION ALL SELECT 'pointer_fields_semicolon' FROM x WHERE ok AND contains(p, ';') UNION ALL SELECT 'pointer_fields_star' FROM x WHERE ok AND contains(p, '*')
+  UNION ALL SELECT 'multi_pointer_predicates' FROM x WHERE l = 'rel' AND regexp_matches(p, '[,;*]'))
+SELECT item, count(*)::BIGINT AS n FROM i WHERE item IS NOT NULL GROUP BY item""",
     }

@@ -34,7 +34,8 @@ def token_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predicate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.predicate_candidates(documents(spark, sf_dir), OPTIONS).select(
-        "doc_id", "sentence_index", "cand", "predicate_index", "predicate", "lemma", "start", "end", F.size("words").alias("n_words")
+        "doc_id", "sentence_index", "cand", "predicate_index", "predicate", "lemma", "start", "end", F.size("words").alias("n_words"),
+        F.array_join(F.transform("words", lambda w: F.concat_ws("@", w["text"], w["start"].cast("string"), w["end"].cast("string"))), " ").alias("words"),
     )
 
 
@@ -94,11 +95,24 @@ SELECT doc_id, sentence_index, (row_number() OVER (PARTITION BY doc_id, sentence
 WHERE regexp_matches(tile, '^(?:[A-Za-z0-9]|{SIGN})')"""
 
 
+def lemmas_sql(options: actions.ExtractionOptions) -> str:
+    """The lemma of every word of the texts, by the suffix rules in SQL over the base verbs and the additional ones."""
+    verbs = ", ".join([*(f"'{v}'" for v in lx.BASE_VERBS), *(f"lower(trim('{v}'))" for v in options.additional_verbs)])
+    irregular = ", ".join(f"('{form}', '{lemma}')" for form, lemma in lx.IRREGULAR.items())
+    return f"""
+irregular(form, lemma) AS (VALUES {irregular}),
+word AS (SELECT DISTINCT lower AS form, [{verbs}] AS verbs FROM tok),
+stem AS (SELECT *, CASE WHEN ends_with(form, 'ing') AND length(form) >= 5 THEN form[:-4] END AS ing, CASE WHEN ends_with(form, 'ed') AND length(form) >= 4 THEN form[:-3] END AS ed FROM word),
+guess AS (SELECT *, [CASE WHEN ends_with(form, 'ied') AND length(form) >= 4 THEN form[:-4] || 'y' END,
+    ing, ing || 'e', CASE WHEN length(ing) > 2 AND ing[-1] = ing[-2] THEN ing[:-2] END, ed || 'e', ed, CASE WHEN length(ed) > 2 AND ed[-1] = ed[-2] THEN ed[:-2] END,
+    CASE WHEN ends_with(form, 'es') AND length(form) >= 4 THEN form[:-3] END, CASE WHEN ends_with(form, 'es') AND length(form) >= 4 THEN form[:-2] END, CASE WHEN ends_with(form, 's') AND length(form) >= 3 THEN form[:-2] END] AS guesses FROM stem),
+lex AS (SELECT form, CASE WHEN irregular.lemma IS NOT NULL THEN if(list_contains(verbs, irregular.lemma), irregular.lemma, NULL) WHEN list_contains(verbs, form) THEN form
+    ELSE list_filter(guesses, lambda g: list_contains(verbs, g))[1] END AS lemma FROM guess LEFT JOIN irregular USING (form))"""
+
+
 def candidates_sql(options: actions.ExtractionOptions) -> str:
-    rows = ", ".join(f"('{form}', '{lemma}')" for form, lemma in lx.lexicon(options.additional_verbs).items())
     return f"""
-WITH lex(form, lemma) AS (VALUES {rows}),
-tok AS MATERIALIZED ({TOKENS}),
+WITH tok AS MATERIALIZED ({TOKENS}),{lemmas_sql(options)},
 marked AS (SELECT tok.*, CASE WHEN lower NOT IN ({quoted(lx.AUXILIARIES)})
     AND coalesce(lag(lower) OVER (PARTITION BY doc_id, sentence_index ORDER BY tok) NOT IN ({quoted(lx.DETERMINERS)}), true) THEN lex.lemma END AS lemma
   FROM tok LEFT JOIN lex ON form = lower),
@@ -147,8 +161,10 @@ w AS (SELECT DISTINCT doc_id, sentence_index, 'Sentence ' || sentence_index || '
   FROM flat SEMI JOIN (SELECT doc_id, sentence_index FROM tok WHERE lower IN ({quoted(lx.NEGATIONS)})) n USING (doc_id, sentence_index)
   UNION ALL
   SELECT doc_id, 0, '{actions.NO_MATCH}' FROM documents d ANTI JOIN flat USING (doc_id)
-  WHERE regexp_matches(text, '[^\\p{{Z}}\\t\\n\\x0B\\f\\r\\x1c-\\x1f\\x{{85}}]'))
-SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY sentence_index) - 1)::INT AS warning_no, warning FROM w"""
+  WHERE regexp_matches(text, '[^\\p{{Z}}\\t\\n\\x0B\\f\\r\\x1c-\\x1f\\x{{85}}]'))"""
+
+
+NUMBERED_WARNINGS = "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY sentence_index) - 1)::INT AS warning_no, warning FROM w"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -157,8 +173,8 @@ def oracle_sql() -> dict[str, str]:
         "tokens_with_offsets": TOKENS,
         "token_length_stats": f'SELECT ("end" - start)::INT AS length, count(*)::BIGINT AS tokens, min(lower) AS first_token FROM ({TOKENS}) GROUP BY 1',
         "predicate_candidates": f"""{candidates_sql(OPTIONS)}
-SELECT doc_id, sentence_index, cand, tok AS predicate_index, token AS predicate, lemma, start, "end",
-  (SELECT count(*) FROM tok t WHERE t.doc_id = cand.doc_id AND t.sentence_index = cand.sentence_index)::INT AS n_words FROM cand""",
+SELECT doc_id, sentence_index, cand, tok AS predicate_index, token AS predicate, lemma, start, "end", n_words, words
+FROM cand JOIN (SELECT doc_id, sentence_index, count(*)::INT AS n_words, string_agg(token || '@' || start || '@' || "end", ' ' ORDER BY tok) AS words FROM tok GROUP BY ALL) USING (doc_id, sentence_index)""",
         "candidate_counts_by_lemma": f"""{candidates_sql(OPTIONS)}
 SELECT lemma, count(*)::BIGINT AS candidates, count(DISTINCT doc_id)::BIGINT AS docs FROM cand GROUP BY lemma""",
         "action_frames": f"{frames_sql(OPTIONS)} SELECT * FROM flat",
@@ -166,5 +182,13 @@ SELECT lemma, count(*)::BIGINT AS candidates, count(DISTINCT doc_id)::BIGINT AS
         "qualifiers_long": f"""{frames_sql(OPTIONS)}
 SELECT doc_id, sentence_index, cand, qualifier, lowers[tail_at + i + 1] AS relation, text[starts[q_first + 1] + 1 : ends[q_first + q_len]] AS value,
   starts[q_first + 1] AS start, ends[q_first + q_len] AS "end" FROM qual JOIN documents USING (doc_id)""",
-        "extraction_warnings": warnings_sql(OPTIONS),
+        "extraction_warnings": f"{warnings_sql(OPTIONS)} {NUMBERED_WARNINGS}",
+        "action_json": f"""{warnings_sql(OPTIONS)},
+ql AS (SELECT doc_id, sentence_index, cand, list({{'relation': lowers[tail_at + i + 1], 'value': {{'text': text[starts[q_first + 1] + 1 : ends[q_first + q_len]], 'start': starts[q_first + 1], 'end': ends[q_first + q_len]}}}} ORDER BY qualifier) AS qualifiers
+  FROM qual JOIN documents USING (doc_id) GROUP BY ALL),
+ac AS (SELECT doc_id, list({{'actor': CASE WHEN actor_start >= 0 THEN {{'text': actor_text, 'start': actor_start, 'end': actor_end}} END, 'predicate': {{'text': predicate_text, 'start': predicate_start, 'end': predicate_end}}, 'predicate_lemma': lemma,
+    'patient': CASE WHEN patient_start >= 0 THEN {{'text': patient_text, 'start': patient_start, 'end': patient_end}} END, 'qualifiers': coalesce(qualifiers, []), 'sentence_index': sentence_index, 'confidence': confidence, 'extractor': extractor}} ORDER BY sentence_index, cand) AS actions
+  FROM flat LEFT JOIN ql USING (doc_id, sentence_index, cand) GROUP BY doc_id),
+wl AS (SELECT doc_id, list(warning ORDER BY sentence_index) AS warnings FROM w GROUP BY doc_id)
+SELECT doc_id, to_json({{'text': text, 'actions': coalesce(actions, []), 'warnings': coalesce(warnings, [])}})::VARCHAR AS json FROM documents LEFT JOIN ac USING (doc_id) LEFT JOIN wl USING (doc_id)""",
     }

@@ -92,15 +92,18 @@ def balanced_tree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("region", "sentences", F.element_at("terminals", 1).alias("n_terminals"))
 
 
+#: Ends of pointer texts, well formed and not.
+POINTER_ENDS = ("", ",3:1*4:0", ";5:2", ";1:0*2:2", "-", "*2:1", ";1:0,2:0", "*", ",1", "*1:0*2:0,3:0", " ", ":", "*x:0")
+
+
 def pointer_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pointer texts made from events, well formed and not, taken apart."""
-    raw = F.concat(
-        (F.col("user_id") % 50).cast("string"), F.lit(":"), (F.col("event_id") % 4).cast("string"),
-        F.when(F.col("event_type") == "click", ",3:1*4:0").when(F.col("event_type") == "view", ";5:2").when(F.col("event_type") == "error", ";1:0*2:2").when(F.col("event_type") == "signup", "-").otherwise(""),
-    )
+    end = F.element_at(F.array(*map(F.lit, POINTER_ENDS)), (F.col("event_id") % len(POINTER_ENDS)).cast("int") + 1)
+    raw = F.when(F.col("event_id") % 97 != 0, F.concat((F.col("user_id") % 50).cast("string"), F.lit(":"), (F.col("event_id") % 4).cast("string"), end)).otherwise("")
     found = propositions.parse_pointers(read(spark, sf_dir, "events").select("event_id", raw.alias("raw")), "raw")
-    return found.select("event_id", "raw", "pointer_error", F.coalesce(F.size("members"), F.lit(0)).alias("members"),
-                        F.coalesce(F.size(F.flatten(F.transform("members", lambda m: m["nodes"]))), F.lit(0)).alias("nodes"))
+    node = lambda n: F.concat_ws(":", n["t"].cast("string"), n["h"].cast("string"))
+    member = lambda m: F.call_function("array_join", F.transform(m["nodes"], node), F.coalesce(m["operator"], F.lit("")))
+    return found.select("event_id", "raw", "pointer_error", F.array_join(F.transform("members", member), "*").alias("members"), F.coalesce(F.size("members"), F.lit(0)).alias("n_members"))
 
 
 def pointer_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,12 +279,15 @@ def fixed_pieces(batch):
     return found
 
 
+#: Labels of the alignment queries with their ids.
+LABEL_IDS = {"O": 0} | {f"{p}-{r}": i for i, (r, p) in enumerate(((r, p) for r in ("ARG0", "ARG1", "ARG2", "V", "ARGM-TMP", "ARGM-LOC") for p in "BI"), 1)}
+
+
 def subword_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "srl_examples").select("example_id", "words", "tags", "predicate_index").dropDuplicates(["example_id"])
-    table = {"O": 0} | {f"{p}-{r}": i for i, (r, p) in enumerate(((r, p) for r in ("ARG0", "ARG1", "ARG2", "V", "ARGM-TMP", "ARGM-LOC") for p in "BI"), 1)}
-    found = align.align_labels(align.tokenize_words(rows, fixed_pieces), table)
-    total = lambda c, x: F.coalesce(F.size(F.filter(c, lambda v: v == x)), F.lit(-1))
-    return found.select("example_id", "align_error", F.size("input_ids").alias("n_pieces"), total("labels", align.IGNORED).alias("n_special"), total("token_type_ids", 1).alias("n_indicated"), total("labels", 0).alias("n_outside"))
+    found = align.align_labels(align.tokenize_words(rows, fixed_pieces), LABEL_IDS)
+    numbers = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+    return found.select("example_id", "align_error", F.size("input_ids").alias("n_pieces"), numbers("labels").alias("labels"), numbers("token_type_ids").alias("indicator"))
 
 
 def queries() -> dict:
@@ -323,11 +329,11 @@ UNION ALL SELECT region, 2, pos, t, 1 FROM t""",
         "preterminal_paths": f"{LEAVES} SELECT document_id, sentence_index, terminal_index AS t, array_to_string(preterminal_path, '.') AS path FROM t",
         "surface_words": f"""{LEAVES} SELECT s.document_id, s.sentence_index, CASE WHEN whole THEN coalesce(string_agg(word, ' ' ORDER BY terminal_index) FILTER (WHERE surface >= 0), '') END AS words
 FROM sentence s LEFT JOIN t USING (document_id, sentence_index) GROUP BY s.document_id, s.sentence_index, whole""",
-        "pointer_parse": """
-SELECT event_id, raw, CASE event_type WHEN 'signup' THEN 'pointer_syntax_invalid' WHEN 'error' THEN 'mixed_semicolon_chain_unsupported' END AS pointer_error,
-  CASE event_type WHEN 'signup' THEN 0 WHEN 'error' THEN 0 WHEN 'click' THEN 2 ELSE 1 END::INT AS members,
-  CASE event_type WHEN 'signup' THEN 0 WHEN 'error' THEN 0 WHEN 'click' THEN 3 WHEN 'view' THEN 2 ELSE 1 END::INT AS nodes
-FROM (SELECT *, (user_id % 50) || ':' || (event_id % 4) || CASE event_type WHEN 'click' THEN ',3:1*4:0' WHEN 'view' THEN ';5:2' WHEN 'error' THEN ';1:0*2:2' WHEN 'signup' THEN '-' ELSE '' END AS raw FROM events)""",
+        "pointer_parse": f"""
+WITH p AS (SELECT event_id, CASE WHEN event_id % 97 <> 0 THEN (user_id % 50) || ':' || (event_id % 4) || [{", ".join(f"'{e}'" for e in POINTER_ENDS)}][event_id % {len(POINTER_ENDS)} + 1] ELSE '' END AS raw FROM events),
+e AS (SELECT *, CASE WHEN raw = '' THEN 'pointer_empty' WHEN contains(raw, ';') AND contains(raw, '*') THEN 'mixed_semicolon_chain_unsupported' WHEN contains(raw, ';') AND contains(raw, ',') THEN 'mixed_concatenation_unsupported'
+  WHEN NOT regexp_full_match(raw, '[0-9]+:[0-9]+([,;*][0-9]+:[0-9]+)*') THEN 'pointer_syntax_invalid' END AS pointer_error FROM p)
+SELECT event_id, raw, pointer_error, if(pointer_error IS NULL, raw, NULL) AS members, if(pointer_error IS NULL, len(string_split(raw, '*')), 0)::INT AS n_members FROM e""",
         "pointer_resolution": f"""{LEAVES},
 g AS (SELECT document_id, sentence_index, level, prefix, min(terminal_index) AS lo, count(*) AS nt, count(*) FILTER (WHERE surface >= 0) AS ns
   FROM (SELECT document_id, sentence_index, terminal_index, surface, level, preterminal_path[1:level] AS prefix FROM t, unnest(range(len(preterminal_path) + 1)) r(level)) GROUP BY ALL),
@@ -345,16 +351,15 @@ FROM (SELECT *, regexp_full_match(raw_label, '(C-|R-)?ARG([0-9]+|A)(-[A-Za-z0-9]
         "prop_records": f"""{RECORDS}
 SELECT rid AS example_id, doc AS document_id, si AS sentence_index, roleset, CASE WHEN typed THEN 'modern' ELSE 'classic' END AS dialect, kind, n_labels,
   coalesce(texts, '') AS labels, record_error FROM rec3 LEFT JOIN (SELECT rid, string_agg(label || '|' || raw, ' ' ORDER BY k) AS texts FROM lab2 GROUP BY rid) USING (rid)""",
-        "subword_alignment": """
+        "subword_alignment": f"""
 WITH ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY example_id) AS rn FROM (SELECT DISTINCT example_id, words, tags, predicate_index FROM srl_examples)) WHERE rn = 1),
-w AS (SELECT example_id, unnest(words) AS word, unnest(tags) AS tag FROM ex),
-c AS (SELECT example_id, sum(greatest(1, ceil(length(coalesce(word, '')) / 4)))::INT AS pieces,
-  coalesce(sum(greatest(1, ceil(length(coalesce(word, '')) / 4))) FILTER (WHERE tag = 'O'), 0)::INT AS outside,
-  bool_or(NOT regexp_full_match(tag, '(?s)O|[BI]-.+')) AS bad, bool_or(NOT regexp_full_match(tag, 'O|[BI]-(ARG[012]|V|ARGM-TMP|ARGM-LOC)')) AS missing FROM w GROUP BY example_id),
-e AS (SELECT example_id, pieces, outside, CASE WHEN pieces IS NULL THEN 'words cannot be empty' WHEN bad THEN 'invalid BIO tag' WHEN missing THEN 'label mapping is missing an aligned tag' END AS align_error
-  FROM ex LEFT JOIN c USING (example_id))
-SELECT example_id, align_error, coalesce(pieces, 0) + 2 AS n_pieces, CASE WHEN align_error IS NULL THEN 2 ELSE -1 END AS n_special,
-  CASE WHEN align_error IS NULL THEN 1 ELSE -1 END AS n_indicated, CASE WHEN align_error IS NULL THEN outside ELSE -1 END AS n_outside FROM e""",
+ids(label, id) AS (VALUES {", ".join(f"('{k}', {v})" for k, v in LABEL_IDS.items())}),
+w AS (SELECT example_id, unnest(words) AS word, unnest(tags) AS tag, unnest(range(len(words))) AS pos, predicate_index FROM ex),
+piece AS (SELECT w.*, k, if(k = 0 OR tag = 'O', tag, 'I-' || tag[3:]) AS label FROM w, unnest(range(greatest(1, ceil(length(coalesce(word, '')) / 4))::BIGINT)) r(k)),
+c AS (SELECT example_id, count(*) AS pieces, bool_or(NOT regexp_full_match(tag, '(?s)O|[BI]-.+')) AS bad, bool_or(id IS NULL) AS missing, string_agg(id, ' ' ORDER BY pos, k) AS labels,
+  string_agg((k = 0 AND pos = predicate_index)::INT, ' ' ORDER BY pos, k) AS indicator FROM piece LEFT JOIN ids USING (label) GROUP BY example_id),
+e AS (SELECT ex.example_id, pieces, labels, indicator, CASE WHEN pieces IS NULL THEN 'align_words_empty' WHEN bad THEN 'align_tag_malformed' WHEN missing THEN 'align_label_unmapped' END AS align_error FROM ex LEFT JOIN c USING (example_id))
+SELECT example_id, align_error, (coalesce(pieces, 0) + 2)::INT AS n_pieces, CASE WHEN align_error IS NULL THEN '-100 ' || labels || ' -100' END AS labels, CASE WHEN align_error IS NULL THEN '0 ' || indicator || ' 0' END AS indicator FROM e""",
         "conversion_outcomes": f"{OUTCOMES} SELECT record_id, document_id, reason_code FROM out_",
         "coverage_report": f"{OUTCOMES} SELECT reason_code, count(*)::BIGINT AS records, round(count(*) / (SELECT count(*) FROM out_), 6) AS share FROM out_ GROUP BY reason_code",
         "bio_from_pointers": f"{OUTCOMES} SELECT record_id AS example_id, pos, tag FROM tagged",

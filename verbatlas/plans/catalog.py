@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbatlas.plans import archives, corpus, tagging, text_actions, training_data, trees_and_records
+from verbatlas.plans import archives, corpus, inputs_and_outputs, tagging, text_actions, training_data, trees_and_records
 
-MODULES = (text_actions, tagging, trees_and_records, corpus, archives, training_data)
+MODULES = (text_actions, tagging, trees_and_records, corpus, archives, training_data, inputs_and_outputs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

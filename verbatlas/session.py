@@ -38,13 +38,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors of a cluster, once per application.
+    """Send this package to the executors (or local workers, which may run elsewhere), once per application.
 
     Python kernels are pickled by reference, so that a worker keeps its caches (vocabularies,
     compiled patterns) between tasks; the package must then be importable on every executor.
     """
     context = spark.sparkContext
-    if context.master.startswith("local[") or context.master == "local" or context.applicationId in _shipped:
+    if context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)
     root = Path(__file__).resolve().parent
@@ -85,6 +85,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder removed when the driver exits."""
+    atexit.register(_remove, spark, path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 

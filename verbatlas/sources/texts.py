@@ -41,9 +41,18 @@ def from_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def options_from_toml(path: str) -> ExtractionOptions:
-    """Options of the table ``[baseline]``; unknown keys and wrong types are errors."""
-    with open(path, "rb") as source:
-        table = tomllib.load(source).get("baseline", {})
+    """Options of the table ``[baseline]`` of a file; unknown keys and wrong types are errors."""
+    with open(path, encoding="utf-8") as source:
+        return options_from_text(source.read())
+
+
+def read_options(spark: SparkSession, path: str) -> ExtractionOptions:
+    """The same from a file at any path that Spark reads."""
+    return options_from_text(spark.read.text(path, wholetext=True).first().value)
+
+
+def options_from_text(toml: str) -> ExtractionOptions:
+    table = tomllib.loads(toml).get("baseline", {})
     if not isinstance(table, dict):
         raise ValueError("[baseline] must be a table")
     if unknown := sorted(table.keys() - {"additional_verbs", "min_confidence"}):

@@ -103,10 +103,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_materialized(df: DataFrame) -> None:
-    """Remove the files behind a frame made by :func:`materialize` before the driver exits."""
-    for path in {os.path.dirname(p) for p in df.inputFiles()}:
-        _remove(df.sparkSession, path)
+def drop_materialized(*frames: DataFrame) -> None:
+    """Remove the files behind frames made by :func:`materialize`, once all that reads them is written itself."""
+    for df in frames:
+        for path in {os.path.dirname(p) for p in df.inputFiles()}:
+            _remove(df.sparkSession, path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbatlas.session import materialize, parameter_rows, ship
+from verbatlas.session import drop_materialized, materialize, parameter_rows, ship
 
 HEAVY, BLOCK, JUMPS = 200, 5_000, 3
 
@@ -50,21 +50,25 @@ def components(rows: DataFrame, doc_col: str = "document_id", keys: Sequence[str
     while True:
         values = edges.groupBy("value").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").drop("high")
         hooked = edges.join(values, "value")
-        hooks = materialize(hooked.groupBy("node").agg(F.min("low").alias("low")), "hooks")
-        if hooks.isEmpty():
+        first = materialize(hooked.groupBy("node").agg(F.min("low").alias("low")), "hooks")
+        if first.isEmpty():
             break
-        further = hooks.select(F.col("node").alias("low"), F.col("low").alias("lower"))  # as written
+        further = first.select(F.col("node").alias("low"), F.col("low").alias("lower"))  # as written
+        hooks = first
         for _ in range(JUMPS):  # follow the hooks
             hooks = hooks.join(further, "low").select("node", F.col("lower").alias("low"))
         hooks = materialize(hooks, "hooks")
         tied = hooked.select("node", "value")
-        edges = materialize(tied.join(hooks, "node").select(F.col("low").alias("node"), "value").distinct(), "ties")
+        smaller = materialize(tied.join(hooks, "node").select(F.col("low").alias("node"), "value").distinct(), "ties")
+        drop_materialized(edges, first)
+        edges = smaller
         if groups is None:
             groups = hooks.withColumnRenamed("low", "group")
         else:
             step = hooks.select(F.col("node").alias("group"), "low")
-            groups = groups.join(step, "group", "left").select("node", F.coalesce("low", "group").alias("group"))
-        groups = materialize(groups, "groups")
+            merged = materialize(groups.join(step, "group", "left").select("node", F.coalesce("low", "group").alias("group")), "groups")
+            drop_materialized(groups, hooks)
+            groups = merged
     if groups is None:
         return edges.select("node", F.col("node").alias("group")).where(F.lit(False))
     return groups
@@ -152,9 +156,10 @@ def assign_splits(
     sized = vectors.groupBy("group").agg(F.sum("n").alias("size"))
     number = F.when(F.col("size") * HEAVY >= everything, -1).otherwise(F.pmod(F.xxhash64("group"), F.lit(max(1, -(-groups // block)))).cast("int"))
     tagged = materialize(vectors.join(sized.select("group", number.alias("block")), "group"), "block-vectors")
+    drop_materialized(vectors)
     heavy, light = tagged.where("block < 0"), tagged.where("block >= 0")
 
-    totals = vectors.groupBy("label").agg(F.sum("n").alias("total"))
+    totals = tagged.groupBy("label").agg(F.sum("n").alias("total"))
     first = heavy.join(totals, "label").select(
         "block", "group", "label", "n", *((F.lit(s) * F.col("total")).alias(f"need_{i}") for i, s in enumerate(shares.values())),
         *(F.lit(float(s * everything)).alias(f"rows_{i}") for i, s in enumerate(shares.values())),

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbatlas.llm.bpe import TOKENIZERS, count_tokens
-from verbatlas.session import materialize, parameter_rows, ship
+from verbatlas.session import drop_materialized, materialize, parameter_rows, ship
 
 #: Pieces that one share holds on average.
 SHARE = 50_000
@@ -148,13 +148,13 @@ def pack(
     kinds = [(r.container_kind, int(r.capacity)) for r in parameter_rows(limits.where("capacity >= 1").select("container_kind", "capacity").distinct().orderBy("container_kind", "capacity"), 100)]
     counted = count_tokens(documents, vocabulary, id_col, text_col, tokenizers)
     counted = materialize(counted.select(F.col(id_col).alias("id"), "n_tokens").where("n_tokens > 0").withColumn("row", F.monotonically_increasing_id()), "token-counts")
-    if not kinds:
-        kinds, counted = [(None, 1)], counted.where(F.lit(False))
-    pieces = pieces_of(counted, kinds)
+    pieces = pieces_of(counted if kinds else counted.where(F.lit(False)), kinds or [(None, 1)])
+    kinds = kinds or [(None, 1)]
     sums = counted.agg(*(F.sum(F.expr(f"(n_tokens + {c - 1}) div {c}")).alias(f"n{i}") for i, (_, c) in enumerate(kinds))).first()
     shares = [max(1, -(-(n or 0) // SHARE)) for n in sums]
     salt = F.pmod(F.xxhash64("row", "piece"), F.element_at(F.array(*map(F.lit, shares)), F.col("kind") + 1))
     packed = materialize(pack_shares(pieces.withColumn("share", salt.cast("int")), [c for _, c in kinds]), "packed-shares")
+    drop_materialized(counted)
     # one row for each share: a prefix sum numbers the containers through
     before = Window.partitionBy("kind").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
     used = packed.groupBy("kind", "share").agg((F.max("local") + 1).alias("n"))

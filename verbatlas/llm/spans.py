@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbatlas.session import materialize, ship
+from verbatlas.session import drop_materialized, materialize, ship
 
 #: Length of a shared passage, of the pieces that give minimisers, and of those that split hot buckets.
 LENGTH, WORD, SECOND_WORD, HOT = 150, 50, 23, 5_000
@@ -293,6 +293,7 @@ def shared_spans(
         .select("mini", (F.col("n") > hot).alias("hot"))
     )
     kept = materialize(kmers.join(shared, "mini"), "sharedkmers")
+    drop_materialized(kmers)
     texts = (
         documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         .where(F.char_length("text") >= length)
@@ -310,6 +311,7 @@ def shared_spans(
     second = min(SECOND_WORD, word)
     strings = split_hot(pieces, length, second)
     strings = materialize(strings.withColumn("packed_key", F.unhex(F.sha2("packed", 256))), "packed")
+    drop_materialized(kept)
     # buckets that two minimisers could not cut small enough
     crowded = strings.groupBy("mini", "sub").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("mini", "sub")
     distinct = lambda df: df.groupBy("mini", "sub", "packed", "packed_key").agg(F.min("id").alias("lo"), (F.min("id") != F.max("id")).alias("several"))

@@ -98,6 +98,11 @@ def decoded(df: DataFrame, tags_col: str = "tags", repair_tags: bool = True) ->
     )
 
 
+def in_order(spans: Column) -> Column:
+    """Spans in their order: by label, start and end."""
+    return F.array_sort(F.transform(spans, lambda s: F.struct(s["label"].alias("label"), s["start"].alias("start"), s["end"].alias("end"))))
+
+
 def spans_long(decoded_rows: DataFrame, *keys: str) -> DataFrame:
     """One row per span: the keys, ``label``, ``start``, ``end``."""
     return decoded_rows.select(*keys, F.explode("spans").alias("s")).select(*keys, "s.label", "s.start", "s.end")

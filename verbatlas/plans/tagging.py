@@ -74,9 +74,16 @@ def split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return examples.with_splits(prepared, manifest)
 
 
+def spans_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of every example in their order, and the first of them."""
+    found = bio.decoded(distinct_examples(spark, sf_dir)).select("example_id", bio.in_order(F.col("spans")).alias("s"))
+    text = lambda x: F.concat_ws(":", x["label"], x["start"].cast("string"), x["end"].cast("string"))
+    return found.select("example_id", F.array_join(F.transform("s", text), " ").alias("spans"), text(F.array_min("s")).alias("least"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
-        bio_repair, bio_spans, bio_strict_errors, continuation_tags, span_prf, span_prf_by_role, token_accuracy,
+        spans_in_order, bio_repair, bio_spans, bio_strict_errors, continuation_tags, span_prf, span_prf_by_role, token_accuracy,
         example_validation, example_words_long, split_assignment,
     )}
 
@@ -113,6 +120,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "bio_repair": f"{BASE} SELECT example_id, pos::INT AS pos, tag, rpre || '-' || label AS repaired FROM rep WHERE rpre <> pre",
         "bio_spans": f"{SPANS} SELECT * FROM spans",
+        "spans_in_order": f"""{SPANS} SELECT ex.example_id, coalesce(string_agg(label || ':' || start || ':' || "end", ' ' ORDER BY label, start, "end"), '') AS spans,
+  coalesce(first(label || ':' || start || ':' || "end" ORDER BY label, start, "end"), '') AS least FROM ex LEFT JOIN spans USING (example_id) GROUP BY ex.example_id""",
         "bio_strict_errors": f"""{BASE} SELECT example_id, 'invalid I-tag transition at word ' || min(pos) AS error FROM rep WHERE rpre <> pre GROUP BY example_id""",
         "continuation_tags": f"""{BASE} SELECT tag, CASE WHEN tag = 'O' THEN 'O' ELSE 'I-' || label END AS continuation, count(*)::BIGINT AS n FROM l1 GROUP BY ALL""",
         "span_prf": f"""{PREDICTED}

@@ -290,9 +290,30 @@ def subword_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("example_id", "align_error", F.size("input_ids").alias("n_pieces"), numbers("labels").alias("labels"), numbers("token_type_ids").alias("indicator"))
 
 
+def faulty_pieces(batch):
+    """One piece a word, but for sentences of some lengths with a fault: the last word left out, the first two in
+    turned order, a word that is not there, an id too few."""
+    found = []
+    for words in batch:
+        numbers, fault = list(range(len(words))), len(words) % 6
+        if fault == 1:
+            numbers = numbers[:-1]
+        elif fault == 2:
+            numbers[:2] = numbers[1::-1]
+        elif fault == 3:
+            numbers[-1] = len(words)
+        found.append(([7] * (len(numbers) - (fault == 4)), numbers))
+    return found
+
+
+def alignment_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "srl_examples").select("example_id", "words", "tags", "predicate_index").dropDuplicates(["example_id"])
+    return align.align_labels(align.tokenize_words(rows, faulty_pieces), LABEL_IDS).select("example_id", "align_error", F.coalesce(F.size("labels"), F.lit(-1)).alias("n_labels"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
-        tree_nodes, terminals, preterminal_paths, surface_words, balanced_tree_counts, pointer_parse, pointer_resolution, prop_records, role_labels,
+        alignment_errors, tree_nodes, terminals, preterminal_paths, surface_words, balanced_tree_counts, pointer_parse, pointer_resolution, prop_records, role_labels,
         conversion_outcomes, bio_from_pointers, conversion_provenance, coverage_report, role_base_anti, subword_alignment,
         record_cases, record_case_coverage, record_case_tags, record_case_provenance,
     )}
@@ -360,6 +381,12 @@ c AS (SELECT example_id, count(*) AS pieces, bool_or(NOT regexp_full_match(tag,
   string_agg((k = 0 AND pos = predicate_index)::INT, ' ' ORDER BY pos, k) AS indicator FROM piece LEFT JOIN ids USING (label) GROUP BY example_id),
 e AS (SELECT ex.example_id, pieces, labels, indicator, CASE WHEN pieces IS NULL THEN 'align_words_empty' WHEN bad THEN 'align_tag_malformed' WHEN missing THEN 'align_label_unmapped' END AS align_error FROM ex LEFT JOIN c USING (example_id))
 SELECT example_id, align_error, (coalesce(pieces, 0) + 2)::INT AS n_pieces, CASE WHEN align_error IS NULL THEN '-100 ' || labels || ' -100' END AS labels, CASE WHEN align_error IS NULL THEN '0 ' || indicator || ' 0' END AS indicator FROM e""",
+        "alignment_errors": f"""
+WITH ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY example_id) AS rn FROM (SELECT DISTINCT example_id, words, tags, predicate_index FROM srl_examples)) WHERE rn = 1),
+e AS (SELECT example_id, len(words) AS n, CASE WHEN coalesce(len(words), 0) = 0 THEN 'align_words_empty' WHEN len(list_filter(tags, lambda t: NOT regexp_full_match(t, '(?s)O|[BI]-.+'))) > 0 THEN 'align_tag_malformed'
+  WHEN len(words) % 6 = 4 THEN 'align_ids_mismatch' WHEN len(words) % 6 = 3 THEN 'align_word_unknown' WHEN len(words) % 6 IN (1, 2) THEN 'align_words_omitted'
+  WHEN len(list_filter(tags, lambda t: NOT list_contains([{", ".join(f"'{k}'" for k in LABEL_IDS)}], t))) > 0 THEN 'align_label_unmapped' END AS align_error FROM ex)
+SELECT example_id, align_error, if(align_error IS NULL, n, -1)::INT AS n_labels FROM e""",
         "conversion_outcomes": f"{OUTCOMES} SELECT record_id, document_id, reason_code FROM out_",
         "coverage_report": f"{OUTCOMES} SELECT reason_code, count(*)::BIGINT AS records, round(count(*) / (SELECT count(*) FROM out_), 6) AS share FROM out_ GROUP BY reason_code",
         "bio_from_pointers": f"{OUTCOMES} SELECT record_id AS example_id, pos, tag FROM tagged",

@@ -26,7 +26,9 @@ def geo_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def common_levels(a: Column, b: Column) -> Column:
-    return F.size(F.filter(F.sequence(F.lit(0), F.least(F.size(a), F.size(b))), lambda k: F.slice(a, F.lit(1), k) == F.slice(b, F.lit(1), k))) - 1
+    """How many numbers two paths have in common from their beginning."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(differs == 0, F.size(a)).otherwise(differs - 1).cast("int")
 
 
 def bracket_text(leaves: Column) -> Column:

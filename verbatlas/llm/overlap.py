@@ -45,6 +45,11 @@ RANKED = 20_000
 #: Odd multipliers of the hash of a substring and of its position.
 STEP, PLACE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
+BACK = pow(STEP, -1, 1 << 64)
+
+#: Keys that are made at once.
+CELLS = 1 << 20
+
 NEAR = 1e-9
 
 
@@ -140,33 +145,35 @@ def substrings(rows: DataFrame, threshold: float, evaluation: bool) -> DataFrame
             bit = np.uint64(1) << (hashed & np.uint64(63))
             begin = np.cumsum(sizes) - sizes
             ids = batch.column(0).to_numpy()
-            for n in np.unique(sizes):
-                which = np.flatnonzero(sizes == n)
-                table = codes[begin[which][:, None] + np.arange(n)]
-                parity = np.bitwise_xor.reduce(bit[table], axis=1).view(np.int64)
-                power = np.cumprod(np.append(np.uint64(1), np.full(n, STEP, np.uint64)), dtype=np.uint64)
-                sums = np.zeros((len(which), n + 1), np.uint64)
-                np.cumsum(hashed[table] * power[1:], axis=1, out=sums[:, 1:])
-                plan = sought(int(n), threshold) if evaluation else offered(int(n), threshold)
+            for n in np.unique(sizes).tolist():
+                plan = sought(n, threshold) if evaluation else offered(n, threshold)
                 if not len(plan):
                     continue
                 if evaluation:
                     segment, start, length, position = plan.T
-                    end = start
+                    begins = start
                 else:
-                    (length, position), segment, start = plan.T, np.zeros(len(plan), np.int64), np.zeros(len(plan), np.int64)
-                    end = position
-                # the hash of a substring, moved to the same power wherever it stands
-                inverse = pow(STEP, -1, 1 << 64)
-                down = np.array([pow(inverse, int(e), 1 << 64) for e in end], np.uint64)
-                key = (sums[:, end + length] - sums[:, end]) * down
-                key = (key ^ (key >> np.uint64(31))) * np.uint64(PLACE) + (position * 64 + length).astype(np.uint64) * np.uint64(STEP)
-                key ^= key >> np.uint64(29)
-                each = lambda values, kind: pa.array(np.tile(values, len(which)).astype(kind))
-                many = lambda values: pa.array(np.repeat(values, len(plan)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.ravel().view(np.int64)), many(ids[which]), each(np.array([n]), np.int32) if len(plan) == 1 else many(np.full(len(which), n, np.int32)),
-                     each(position, np.int32), each(segment, np.int32), each(start, np.int32), many(parity)], names)
+                    length, position = plan.T
+                    segment = start = np.zeros(len(plan), np.int64)
+                    begins = position
+                power = np.cumprod(np.append(np.uint64(1), np.full(n, STEP, np.uint64)), dtype=np.uint64)
+                down = np.array([pow(BACK, b, 1 << 64) for b in begins.tolist()], np.uint64)
+                place = (position * 64 + length).astype(np.uint64) * np.uint64(STEP)
+                same = np.flatnonzero(sizes == n)
+                for which in np.array_split(same, -(-len(same) * len(plan) // CELLS)):
+                    table = codes[begin[which][:, None] + np.arange(n)]
+                    parity = np.bitwise_xor.reduce(bit[table], axis=1).view(np.int64)
+                    sums = np.zeros((len(which), n + 1), np.uint64)
+                    np.cumsum(hashed[table] * power[1:], axis=1, out=sums[:, 1:])
+                    # the hash of a substring, moved to the same power wherever it stands
+                    key = (sums[:, begins + length] - sums[:, begins]) * down
+                    key = (key ^ (key >> np.uint64(31))) * np.uint64(PLACE) + place
+                    key ^= key >> np.uint64(29)
+                    by_plan = lambda values: pa.array(np.tile(values.astype(np.int32), len(which)))  # noqa: B023, E731
+                    by_row = lambda values: pa.array(np.repeat(values, len(plan)))  # noqa: B023, E731
+                    sizes_of = by_row(np.full(len(which), n, np.int32))
+                    columns = [pa.array(key.ravel().view(np.int64)), by_row(ids[which]), sizes_of, by_plan(position), by_plan(segment), by_plan(start), by_row(parity)]
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "key long, class long, n int, position int, segment int, start int, parity long"
     return rows.select("class", "seq").mapInArrow(kernel, schema)

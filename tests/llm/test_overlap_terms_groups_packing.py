@@ -206,3 +206,58 @@ def test_packing_of_texts(spark):
     report = {r.container_kind: r.fill for r in packing.fill_report(packing.pack(df, limits), limits).collect()}
     assert report["small"] > 0.9
     assert packing.pack(df.limit(0), limits).count() == 0
+
+
+def test_overlap_of_long_sequences(spark):
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(900)]
+    changed = [w for w in base if rng.random() > 0.1] + [f"x{k}" for k in range(60)]
+    far = base[:500] + [f"y{k}" for k in range(500)]
+    rows = [("a", "test", "s", base), ("b", "train", "s", changed), ("c", "train", "s", far), ("d", "train", "s", base[::-1])]
+    found = {tuple(r) for r in overlap.overlapping_pairs(spark.createDataFrame(rows, EXAMPLE)).collect()}
+    assert found == brute_pairs(rows) == {("a", "b"), ("a", "d")}
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.75, 0.9, 1.0])
+def test_segments_are_whole_and_found(threshold):
+    """Segments tile the sequence, and every near sequence offers one of them at an allowed position."""
+    rng = random.Random(13)
+    for n in range(1, 30):
+        k, cuts = overlap.segments(n, threshold)
+        assert len(cuts) == k + 1 and cuts[0][0] == 0 and all(length > 0 for _, length in cuts) and sum(length for _, length in cuts) == n
+        for _ in range(60):
+            a = sorted(rng.sample(range(0, 1000, 2), n))
+            b = sorted([x for x in a if rng.random() > 0.15] + rng.sample(range(1, 1000, 2), rng.randrange(4)))
+            if not b or len(set(a) & set(b)) / len(set(a) | set(b)) < threshold:
+                continue
+            sought = {(length, q, tuple(a[p : p + length])) for _, p, length, q in overlap.sought(n, threshold).tolist()}
+            offered = {(length, q, tuple(b[q : q + length])) for length, q in overlap.offered(len(b), threshold).tolist()}
+            assert sought & offered, (a, b)
+
+
+def test_overlap_threshold_must_be_sensible(spark):
+    df = spark.createDataFrame([("a", "test", "s", ["x"])], EXAMPLE)
+    with pytest.raises(ValueError):
+        overlap.overlapping_pairs(df, 0.3)
+
+
+def test_blocks_of_splits_meet_the_shares_of_rare_labels(spark):
+    """Labels with one component in each block keep their proportions over all blocks."""
+    rng = random.Random(14)
+    rows = [(f"d{i}", f"s{i}", None, f"e{i}", rng.choice(["go.01"] * 20 + ["rare.01"])) for i in range(3000)]
+    targets = spark.createDataFrame([("train", 0.8), ("development", 0.1), ("test", 0.1)], "split string, share double")
+    placed = {r.document_id: r.split for r in groups.assign_splits(spark.createDataFrame(rows, PREPARED), targets, block=40).collect()}
+    for label in ("go.01", "rare.01"):
+        counts = Counter(placed[d] for d, *_, of in rows if of == label)
+        for name, share in (("train", 0.8), ("development", 0.1), ("test", 0.1)):
+            assert abs(counts[name] / sum(counts.values()) - share) < 0.03, (label, counts)
+
+
+def test_stratify_takes_the_rarest_outstanding_label_first():
+    import pandas as pd
+
+    rows = [("a", "rare", 1), ("a", "common", 5), ("b", "common", 3), ("c", "common", 3), ("d", "middle", 2), ("d", "common", 1)]
+    needs = {"rare": (0.0, 1.0), "middle": (1.0, 1.0), "common": (6.0, 6.0)}
+    frame = pd.DataFrame([(g, label, n, *needs[label], 8.0, 8.0) for g, label, n in rows], columns=["group", "label", "n", "need_0", "need_1", "rows_0", "rows_1"])
+    placed = groups.stratify(frame, [0.5, 0.5])
+    assert placed[0] == ("a", 1) and placed[1][0] == "d" and {g for g, _ in placed} == {"a", "b", "c", "d"}

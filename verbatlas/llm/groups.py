@@ -13,8 +13,8 @@
 Placement runs in blocks, each an independent task. The components that are a ``HEAVY``-th of all rows or more (at most
 ``HEAVY`` can be) are one block and come first, against the needs of the whole collection. What they
 leave is needed of the others, which are spread by hash over blocks of about ``BLOCK`` components; every block gets
-its part of each label's needs, cut from one running sum over the blocks, so that the parts add up and a label that
-is rare inside blocks still meets its proportions over all of them.
+its part of each label's needs from a running sum over the blocks: what is wanted up to its end less the whole rows that
+the splits have before it. So the parts add up, and a label that is rare inside blocks still meets its proportions.
 
 Defined results: rows with null document are left out; null or blank authors and null sentences tie
 nothing; other values tie exactly as stored; a null roleset is a label of its own; a row delivered twice
@@ -169,16 +169,21 @@ def assign_splits(
     done = heavy.join(placed, "group").groupBy("label").agg(*(F.sum(F.when(F.col("split") == s, F.col("n"))).alias(f"done_{i}") for i, s in enumerate(shares)))
     done_rows = done.agg(*(F.coalesce(F.sum(f"done_{i}"), F.lit(0)) for i in numbers)).first()
     left_rows = max(1, everything - sum(done_rows))
-    # the needs of a label and block: what falls into its part of the running sum over blocks
     before = Window.partitionBy("label").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     inside = light.groupBy("label", "block").agg(F.sum("n").alias("here")).withColumn("before", F.coalesce(F.sum("here").over(before), F.lit(0)))
     light_totals = light.groupBy("label").agg(F.sum("n").alias("light"))
     open_needs = light_totals.join(totals, "label").join(done, "label", "left")
     quota = lambda i, s: (F.lit(s) * F.col("total") - F.coalesce(F.col(f"done_{i}"), F.lit(0))) / F.col("light")
-    part = lambda i, upto: F.floor(F.col(f"quota_{i}") * upto + (i + 1) / (len(shares) + 1))
     quotas = open_needs.select("label", *(quota(i, s).alias(f"quota_{i}") for i, s in enumerate(shares.values())))
-    parts = inside.join(quotas, "label").select("label", "block", *(
-        (part(i, F.col("before") + F.col("here")) - part(i, F.col("before"))).cast("double").alias(f"need_{i}") for i in numbers))
+    # whole rows that the splits have up to the block (by largest remainders); a block needs what is missing at its end
+    upto = F.array(*(F.struct((F.col(f"quota_{i}") * F.col("before")).alias("wanted"), F.lit(-i).alias("at")) for i in numbers))
+    rest_of = F.transform(upto, lambda x: F.struct((x["wanted"] - F.floor(x["wanted"])).alias("rest"), x["at"].alias("at")))
+    over = (F.col("before") - F.aggregate(upto, F.lit(0).cast("long"), lambda n, x: n + F.floor(x["wanted"]))).cast("int")
+    rounded_up = F.transform(F.slice(F.sort_array(rest_of, asc=False), F.lit(1), F.greatest(over, F.lit(0))), lambda x: -x["at"])
+    had = lambda i: F.floor(F.col(f"quota_{i}") * F.col("before")) + F.array_contains("rounded_up", F.lit(i)).cast("int")
+    parts = inside.join(quotas, "label").withColumn("rounded_up", rounded_up).select(
+        "label", "block", *((F.col(f"quota_{i}") * (F.col("before") + F.col("here")) - had(i)).alias(f"need_{i}") for i in numbers)
+    )
     block_rows = light.groupBy("block").agg(F.sum("n").alias("block_rows"))
     rest = light.join(parts, ["label", "block"]).join(block_rows, "block").select(
         "block", "group", "label", "n", *(f"need_{i}" for i in numbers),

@@ -4,29 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-# The vocabulary that results must agree on.
-BASE_VERBS = (
-    "analyze approve archive ask assign book build call cancel close complete contact create delete deliver deploy "
-    "download email escalate find hire launch make meet move notify open order pay plan process provide purchase read "
-    "receive refund reject remind request resolve review run schedule send ship sign submit tell test train transfer "
-    "update upload use want work write"
-).split()
+# The verbs that results must agree on.
+BASE_VERBS = [
+    "analyze", "approve", "archive", "ask", "assign", "book", "build", "call", "cancel", "close", "complete", "contact",
+    "create", "delete", "deliver", "deploy", "download", "email", "escalate", "find", "hire", "launch", "make", "meet",
+    "move", "notify", "open", "order", "pay", "plan", "process", "provide", "purchase", "read", "receive", "refund",
+    "reject", "remind", "request", "resolve", "review", "run", "schedule", "send", "ship", "sign", "submit", "tell",
+    "test", "train", "transfer", "update", "upload", "use", "want", "work", "write",
+]
+# Irregular forms and their verbs.
 IRREGULAR = {
-    "asked": "ask", "bought": "purchase", "built": "build", "called": "call", "cancelled": "cancel", "canceled": "cancel",
-    "did": "do", "done": "do", "found": "find", "made": "make", "met": "meet", "paid": "pay", "ran": "run", "read": "read",
-    "sent": "send", "told": "tell", "wrote": "write", "written": "write",
+    "asked": "ask", "bought": "purchase", "built": "build", "called": "call", "cancelled": "cancel",
+    "canceled": "cancel", "did": "do", "done": "do", "found": "find", "made": "make", "met": "meet", "paid": "pay",
+    "ran": "run", "read": "read", "sent": "send", "told": "tell", "wrote": "write", "written": "write",
 }
-AUXILIARIES = (
-    "am are be been being can could did do does had has have is may might must shall should was were will would"
-).split()
-DETERMINERS = "a an the this that these those".split()
-DISCOURSE = "also next now please then".split()
-COORDINATORS = "and but or then".split()
-PREPOSITIONS = "after at before by during for from in into on through to with without".split()
-CLAUSE_PUNCTUATION = list(",;:.!?")
-TRAILING_PUNCTUATION = list(",;:.!?)]}")
-LEADING_PUNCTUATION = list(",;:([{")
-NEGATIONS = "never no not without".split()
+# Auxiliary verbs.
+AUXILIARIES = [
+    "am", "are", "be", "been", "being", "can", "could", "did", "do", "does", "had", "has", "have", "is", "may", "might",
+    "must", "shall", "should", "was", "were", "will", "would",
+]
+# Determiners.
+DETERMINERS = [
+    "a", "an", "the", "this", "that", "these", "those",
+]
+# Discourse words.
+DISCOURSE = [
+    "also", "next", "now", "please", "then",
+]
+# Coordinators.
+COORDINATORS = [
+    "and", "but", "or", "then",
+]
+# Prepositions that open a qualifier.
+PREPOSITIONS = [
+    "after", "at", "before", "by", "during", "for", "from", "in", "into", "on", "through", "to", "with", "without",
+]
+# Signs that end a clause.
+CLAUSE_PUNCTUATION = [
+    ",", ";", ":", ".", "!", "?",
+]
+# Signs trimmed at the end.
+TRAILING_PUNCTUATION = [
+    ",", ";", ":", ".", "!", "?", ")", "]", "}",
+]
+# Signs trimmed at the beginning.
+LEADING_PUNCTUATION = [
+    ",", ";", ":", "(", "[", "{",
+]
+# Negation words.
+NEGATIONS = [
+    "never", "no", "not", "without",
+]
 
 
 def normalize_verbs(verbs: Iterable[str]) -> list[str]:

@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from verbatlas.functions import lexicon as lx
 from verbatlas.operators.text import computed_once, sentence_tokens
 
+# The name of the extractor and the texts of warnings.
 EXTRACTOR = "rule-based-v0"
+NEGATION = "Sentence {} contains possible negation; rule-based-v0 does not encode action polarity."
 NO_MATCH = "No action predicates matched the rule-based vocabulary."
 
 #: Letters stripped at the start and at the end of a group of tokens.
@@ -251,7 +253,7 @@ def extraction_results(
     )
     negation = F.transform(
         "negated",
-        lambda i: F.concat(F.lit("Sentence "), i.cast("string"), F.lit(f" contains possible negation; {EXTRACTOR} does not encode action polarity.")),
+        lambda i: F.replace(F.lit(NEGATION), F.lit("{}"), i.cast("string")),
     )
     blank = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\p{Z}\t\n\x0B\f\r\x1c-\x1f\x85]")
     none = F.array().cast("array<string>")

@@ -63,3 +63,10 @@ def test_some_proposal_gives_the_form_again():
             proposals = M.originals(form)
             if proposals and M.LOST not in form:
                 assert any(form in M.forms(original) for original in proposals), form
+
+
+def test_long_words(spark):
+    long = "ä" + "xö" * 30_000
+    words = spark.createDataFrame([(long, 1), (M.garble(long, "cp1252"), 1), (M.garble("ü" * 5000, "cp437"), 1)], "word string, n long")
+    found = {r.word: (r.restored, r.chain) for r in M.damaged_words(words).collect()}
+    assert found == {M.garble(long, "cp1252"): (long, "cp1252"), M.garble("ü" * 5000, "cp437"): ("ü" * 5000, "cp437")}

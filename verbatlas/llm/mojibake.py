@@ -41,6 +41,9 @@ CODECS = ("cp1252", "latin-1", "iso8859-15", "cp437", "cp850", "mac_roman", "cp1
 REPEATED = ("cp1252", "latin-1")
 MAX_LAYERS = 3
 
+#: Characters of forms that are handed on at once, about.
+CHUNK = 1 << 23
+
 LOST = "�"
 
 #: A question mark in the place of a lost letter.
@@ -242,18 +245,28 @@ def form_table(words: DataFrame) -> DataFrame:
     """
     ship(words.sparkSession)
     schema = "form string, original string, chain string, known boolean, weight long"
+    names = ["form", "original", "chain", "known", "weight"]
+    types = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64())
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[str, str | None, str, bool, int]] = []
+        size = 0
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
         for batch in batches:
-            rows: list[tuple[str, str | None, str, bool, int]] = []
             for original, lost, known, n in zip(*(c.to_pylist() for c in batch.columns)):
                 if original is None:
                     rows.append((lost, None, "lost", False, 0))
                 else:
                     rows += [(form, original, chain, known, n) for form, chain in forms(original).items()]
-            columns = list(zip(*rows)) or [()] * 5
-            types = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["form", "original", "chain", "known", "weight"])
+                    size += 200 * len(original)
+                if size >= CHUNK:  # forms of a few long words fill a batch as many short ones do
+                    yield made()
+                    rows, size = [], 0
+        if rows:
+            yield made()
 
     return over_all_tasks(proposed(words), "original").mapInArrow(kernel, schema)
 

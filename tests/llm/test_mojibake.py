@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from verbatlas.llm import mojibake as M
 
@@ -70,3 +71,22 @@ def test_long_words(spark):
     words = spark.createDataFrame([(long, 1), (M.garble(long, "cp1252"), 1), (M.garble("ü" * 5000, "cp437"), 1)], "word string, n long")
     found = {r.word: (r.restored, r.chain) for r in M.damaged_words(words).collect()}
     assert found == {M.garble(long, "cp1252"): (long, "cp1252"), M.garble("ü" * 5000, "cp437"): ("ü" * 5000, "cp437")}
+
+
+def test_forms_are_never_broadcast(spark):
+    """Spark takes the forms for as many as their originals; those of a thoroughly garbled corpus broke the driver."""
+    garbled = {}
+    for k in range(20):
+        original = form = "é" * 1000 + str(k)
+        for _ in range(3):
+            form = M.garble(form, "cp1252")
+            garbled[form] = original
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        words = spark.createDataFrame([(w, 1) for w in garbled], "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        damaged = M.damaged_words(words)
+        assert {r.word: r.restored for r in damaged.collect()} == garbled
+        assert "BroadcastExchange" not in damaged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

@@ -301,19 +301,17 @@ def damaged_words(words: DataFrame) -> DataFrame:
     of several the most frequent one of the corpus. Where bytes were lost, only the sole original of the
     corpus that fits is put back, else null.
     """
-    table = form_table(words).alias("t")
-    hits = table.join(words.select("word").alias("w"), F.col("t.form") == F.col("w.word"))
+    # a semi-join can broadcast the stored words only: Spark takes the forms for as many as the originals, some thirty times too few
+    hits = form_table(words).join(words.select(F.col("word").alias("form")), "form", "left_semi").withColumnRenamed("form", "word")
     score = F.struct(
         F.when(F.col("original").isNull(), 2).when(F.col("known"), 0).otherwise(1).alias("kind"),
         F.when(F.col("chain").startswith("lost"), 0).otherwise(-F.col("weight")).alias("weight"),
     )
-    scored = hits.select("word", "original", "chain", score.alias("score"))
-    best = scored.groupBy("word").agg(F.min("score").alias("best"))
-    ranked = scored.join(best, "word").where(F.col("score") == F.col("best"))
     chosen = F.min(F.struct(F.length("chain").alias("size"), "chain", "original"))
     sure = (F.min("original") == F.max("original")) | ~F.max(F.col("chain").startswith("lost"))
-    return ranked.groupBy("word").agg(chosen.alias("c"), sure.alias("sure")).select(
-        "word", F.when(F.col("sure"), F.col("c.original")).alias("restored"), F.col("c.chain").alias("chain")
+    ranked = hits.withColumn("score", score).groupBy("word", "score").agg(chosen.alias("c"), sure.alias("sure"))
+    return ranked.groupBy("word").agg(F.min(F.struct("score", "c", "sure")).alias("best")).select(
+        "word", F.when(F.col("best.sure"), F.col("best.c.original")).alias("restored"), F.col("best.c.chain").alias("chain")
     )
 
 
